@@ -39,7 +39,14 @@ def pre_tokens(text: str) -> list[str]:
     if MARK in text:
         text = text.replace(MARK, " ")
     parts = text.split(" ")
-    return RUNS.findall(" " + text) if "" in parts else parts
+    if "" not in parts:
+        return parts
+    runs = RUNS.findall(" " + text)
+    if not runs[-1]:  # one space at the end, or no text; the model puts no space before an empty text
+        runs.pop()
+        if runs:
+            runs[-1] += " "
+    return runs
 
 
 def check_model(proto: bytes) -> None:
