@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bounds of the sample that a model is fitted on, for each language: characters of labelled text,
 #: and the longest document that is taken into it (always whole).
 SAMPLE_CHARS, SAMPLE_DOC_CHARS = 40_000, 4_096
-#: Symbols told apart; the others are one class.
+#: Letters told apart; other letters are one class, and so is all that is no letter.
 SYMBOLS = 62
 #: Texts are parsed in pieces of this length, side by side; a phrase ends where a piece ends.
 PIECE = 1024
@@ -34,7 +36,7 @@ class Automaton:
 
 @dataclass(frozen=True)
 class Model:
-    """Symbols (code points, classes 1 and up; 0: any other) and an automaton for each language, languages sorted."""
+    """Symbols (letters as code points, sorted) and an automaton for each language, languages sorted."""
 
     symbols: np.ndarray
     languages: list[str]
@@ -73,11 +75,22 @@ def suffix_automaton(text: list[int]) -> Automaton:
     return Automaton(len(moves), triples[:, 0], triples[:, 1], triples[:, 2], len(text))
 
 
-def classes(text: str, symbols: np.ndarray) -> np.ndarray:
-    """The class of every character of the lower-cased text; symbols sorted."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.minimum(np.searchsorted(symbols, points), len(symbols) - 1) if len(symbols) else np.zeros(len(points), np.int64)
-    return np.where(symbols[at] == points, at + 1, 0).astype(np.uint8) if len(symbols) else np.zeros(len(points), np.uint8)
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
+
+
+def class_table(symbols: np.ndarray) -> np.ndarray:
+    """The class of every code point: 0 any other letter, 1 what is no letter, 2 and up the symbols."""
+    table = np.where(_letters(), 0, 1).astype(np.uint8)
+    table[symbols] = np.arange(len(symbols)) + 2
+    return table
+
+
+def classes(text: str, table: np.ndarray) -> np.ndarray:
+    """The classes of the lower-cased text; a run of characters that are no letters counts as one."""
+    c = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return c[np.concatenate([[True], (c[1:] != 1) | (c[:-1] != 1)])] if len(c) else c
 
 
 def train(samples: dict[str, list[str]], n_symbols: int = SYMBOLS) -> Model:
@@ -85,15 +98,18 @@ def train(samples: dict[str, list[str]], n_symbols: int = SYMBOLS) -> Model:
     languages = sorted(samples)
     joined = {x: "\n".join(samples[x]).lower() for x in languages}
     points, counts = np.unique(np.frombuffer("".join(joined.values()).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    letters = _letters()[points]
+    points, counts = points[letters], counts[letters]
     symbols = np.sort(points[np.lexsort((points, -counts))][:n_symbols])
-    return Model(symbols, languages, [suffix_automaton(classes(joined[x], symbols).tolist()) for x in languages])
+    table = class_table(symbols)
+    return Model(symbols, languages, [suffix_automaton(classes(joined[x], table).tolist()) for x in languages])
 
 
 class Parser:
     """Greedy cross-parsing of many texts against all languages in lockstep."""
 
     def __init__(self, model: Model):
-        self.model, self.width = model, len(model.symbols) + 2
+        self.model, self.width, self.classes = model, len(model.symbols) + 3, class_table(model.symbols)
         w, tables, roots, base = self.width, [], [], 0
         for a in model.automata:
             # a step that leads nowhere ends a phrase and starts the next with its symbol
@@ -114,7 +130,7 @@ class Parser:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text for each language, and the characters of each text."""
-        coded = [classes(t, self.model.symbols) for t in texts]
+        coded = [classes(t, self.classes) for t in texts]
         chars = np.array([len(c) for c in coded], np.int64)
         pieces, owner = [], []
         for i, c in enumerate(coded):
@@ -186,7 +202,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score.
 
-    The whole text is lower-cased and cut into phrases, each the longest that occurs in a
+    The whole text is lower-cased, runs of other characters than letters become one separator, and it is cut into phrases, each the longest that occurs in a
     language's sample; the language with the fewest phrases, normalised by log2 of the sample's length and the
     text's length, wins (ties: the first by code points). score is the share of 1 / rate that
     the winner has among all languages. Null texts and texts without a letter are `und` with
