@@ -8,7 +8,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: leaves the last blank of a run to it.
 COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NEVER = np.int32(2**31 - 1)
-#: Chunks remembered by a worker before it starts afresh, and pieces too long for a matrix row.
-REMEMBERED, LONGEST = 400_000, 512
+#: Chunks and pieces that a worker remembers before it starts afresh, and bytes of the longest matrix row.
+REMEMBERED, REMEMBERED_PIECES, LONGEST = 500_000, 1_000_000, 512
 
 
 class PairTable:
@@ -75,8 +74,9 @@ class Bpe:
         found = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         self.pair = PairTable(*np.array(found, np.int64).reshape(-1, 3).T)
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        # ids as little-endian 32-bit integers
+        self.pieces: dict[bytes, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def _matrix(self, pieces: list[bytes], width: int) -> None:
         """Merge pieces of at most width bytes, a row each: in each round every row merges its leftmost pair of least rank."""
@@ -91,8 +91,10 @@ class Bpe:
             at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(who), np.int64)
             best = rank[row, at] if rank.shape[1] else np.full(len(who), NEVER)
             done = best == NEVER
-            for w, line in zip(who[done].tolist(), ids[done], strict=True):
-                self.pieces[pieces[w]] = tuple(line[line >= 0].tolist())
+            left = ids[done]
+            raw, ends = left[left >= 0].tobytes(), (4 * np.cumsum((left >= 0).sum(axis=1))).tolist()
+            for w, a, b in zip(who[done].tolist(), [0, *ends], ends, strict=False):
+                self.pieces[pieces[w]] = raw[a:b]
             if done.all():
                 return
             # rows that have ended leave the matrix, and the others lose a column
@@ -132,14 +134,14 @@ class Bpe:
             for a, b in ((ahead[i], i), (i, after[i])):
                 if a >= 0 and b < n and (r := self.ranks.get(token[a] + token[b])) is not None:
                     heapq.heappush(heap, (r, a))
-        self.pieces[piece] = tuple(x for x in ids if x >= 0)
+        self.pieces[piece] = np.array([x for x in ids if x >= 0], "<i4").tobytes()
 
     def learn(self, pieces: set[bytes]) -> None:
         """Encode pieces, bucketed by length."""
         buckets: dict[int, list[bytes]] = {}
         for p in pieces:
             if (r := self.ranks.get(p)) is not None:
-                self.pieces[p] = (r,)
+                self.pieces[p] = r.to_bytes(4, "little")
             elif len(p) > LONGEST:
                 self._long(p)
             else:
@@ -151,17 +153,23 @@ class Bpe:
                 self._matrix(of[i : i + step], width)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts: each chunk that is new is split by the pattern, each piece that is new is merged."""
+        """Ids of whole texts."""
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_raw(texts)]
+
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers: each chunk that is new is split by the pattern, each piece that is new is merged."""
         parts = [COARSE.findall(t) for t in texts]
         if len(self.chunks) >= REMEMBERED:
-            self.chunks, self.pieces = {}, {}
+            self.chunks = {}
+        if len(self.pieces) >= REMEMBERED_PIECES:
+            self.pieces = {}
         new = set().union(*parts).difference(self.chunks)
         split = {c: [x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(c)] for c in new}
         self.learn({x for s in split.values() for x in s if x not in self.pieces})
         pieces, chunks = self.pieces, self.chunks
         for c, s in split.items():
-            chunks[c] = pieces[s[0]] if len(s) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, s)))
-        return [list(chain.from_iterable(map(chunks.__getitem__, p))) for p in parts]
+            chunks[c] = b"".join(map(pieces.__getitem__, s))
+        return [b"".join(map(chunks.__getitem__, p)) for p in parts]
 
     def decode_ids(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -200,9 +208,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
-                ids = codec.encode_batch([t or "" for t in b.column(at).to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]))
+                ids = codec.encode_raw([t or "" for t in b.column(at).to_pylist()])
+                ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*b.schema.names, "ids"])
 
     return rows.mapInArrow(run, f"{kinds}, ids array<int>")
