@@ -23,9 +23,9 @@ def connected_components(cells: DataFrame, edges: DataFrame, cluster_key: str |
     if cluster_key:
         pairs = with_labels(pairs, cells, cluster_key).where("ls = ld").select("src", "dst")
     loops = own.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"))
-    found = star_components(pairs.unionByName(loops)).join(own, F.col("node") == F.col("cell_id"))
-    sizes = found.groupBy("component", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_cells)
+    found = star_components(pairs.unionByName(loops)).withColumnRenamed("component", "root").join(own, F.col("node") == F.col("cell_id"))
+    sizes = found.groupBy("root", "cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_cells)
     first = own.groupBy("cluster").agg(F.min("cell_id").alias("first"))
-    ranked = global_rank(sizes.join(first, "cluster").select("component", "first"), ["first", "component"])
-    named = found.join(ranked.select("component", F.col("rank").cast("string").alias(out_key)), "component")
+    ranked = global_rank(sizes.join(first, "cluster").select("root", "first"), ["first", "root"])
+    named = found.join(ranked.select("root", F.col("rank").cast("string").alias(out_key)), "root")
     return cells.select("cell_id").join(named.select("cell_id", out_key), "cell_id", "left")

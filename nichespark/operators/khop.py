@@ -42,12 +42,14 @@ def aggregate_neighbors(
     sample_key: str | None = None,
     out_key: str = "X_agg",
     dims: int | None = None,
+    out_type: str = "float",
 ) -> DataFrame:
     """cell_id and out_key: own features and, per layer and aggregation, those of that ring.
 
     Layers ascend, whatever the order asked for; layer 0 stands once. A layer is a true shortest
     path distance. Cells without neighbours at a layer get 0. With a sample key edges between samples
     don't count, and cells without a sample have a null vector. dims: length of the features (found if not given).
+    out_type: element type of the result.
     """
     need(cells, "cell_id", use_rep, sample_key)
     layers = list(range(n_layers + 1)) if isinstance(n_layers, int) else sorted(set(n_layers))
@@ -70,4 +72,4 @@ def aggregate_neighbors(
         out = out.join(agg, "cell_id", "left")
         zero = F.array_repeat(F.lit(0.0), dims)
         parts += [F.coalesce(F.col(f"{a}_{layer}"), zero) for a in names]
-    return out.select("cell_id", F.when(F.col("has"), F.concat(*parts).cast("array<float>")).alias(out_key))
+    return out.select("cell_id", F.when(F.col("has"), F.concat(*parts).cast(f"array<{out_type}>")).alias(out_key))
