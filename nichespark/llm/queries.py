@@ -67,7 +67,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").withColumn("fetched", F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + F.lit(1_700_000_000)))
     archives = write_archives(pages)
     history = capture_history(read_archives(spark, archives))
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "merge_part", "merge_place")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
