@@ -112,19 +112,20 @@ class Parser:
         self.model, self.width, self.classes = model, len(model.symbols) + 3, class_table(model.symbols)
         w, tables, roots, base = self.width, [], [], 0
         for a in model.automata:
-            # a step that leads nowhere ends a phrase and starts the next with its symbol
+            # a cell is the next state times 4, plus the phrases that the step ends: one where a step leads
+            # nowhere (the next starts with its symbol), one more for a symbol that the language has not
             step = np.full(a.states * w, -1, np.int64)
-            step[a.state.astype(np.int64) * w + a.symbol] = (a.target.astype(np.int64) + base) * w * 2
+            step[a.state.astype(np.int64) * w + a.symbol] = (a.target.astype(np.int64) + base) * w * 4
             root = step[:w].copy()
-            root[root < 0] = base * w * 2 + 1  # a symbol that the language has not: a phrase of its own
+            root[root < 0] = base * w * 4 + 1
             grid = step.reshape(a.states, w)
             grid[0] = root
-            grid[1:] = np.where(grid[1:] < 0, root[None, :] | 1, grid[1:])
-            grid[:, w - 1] = (np.arange(a.states) + base) * w * 2  # padding: stay
+            grid[1:] = np.where(grid[1:] < 0, root[None, :] + 1, grid[1:])
+            grid[:, w - 1] = (np.arange(a.states) + base) * w * 4  # padding: stay
             tables.append(step)
             roots.append(base * w)
             base += a.states
-        self.table = np.concatenate(tables).astype(np.int64 if base * w * 2 >= 2**31 else np.int32) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).astype(np.int64 if base * w * 4 >= 2**31 else np.int32) if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, self.table.dtype)
         self.bits = np.log2(np.array([max(2, a.length) for a in model.automata], float))
 
@@ -151,8 +152,8 @@ class Parser:
             count = np.zeros(state.shape, np.int32)
             for t in range(steps):
                 move = self.table[state + grid[t][None, :]]
-                count += move & 1
-                state = move >> 1
+                count += move & 3
+                state = move >> 2
             count += state != self.roots[:, None]  # the phrase at the end
             np.add.at(out, np.array(owner)[lanes], count.T)
         return out, chars
