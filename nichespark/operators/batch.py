@@ -20,6 +20,6 @@ def standardised_pca(cells: DataFrame, condition_key: str, use_rep: str = "featu
     dims = cells.agg(F.max(F.size(use_rep))).first()[0]
     f = [F.col(use_rep)[i] for i in range(dims)]
     stats = cells.groupBy(condition_key).agg(F.array(*[F.avg(x) for x in f]).alias("mean_of"), F.array(*[F.stddev_pop(x) for x in f]).alias("sd_of"))
-    scaled = cells.join(F.broadcast(stats), condition_key).withColumn("scaled", F.transform(use_rep, lambda x, i: F.coalesce(F.try_divide(x - F.col("mean_of")[i], F.col("sd_of")[i]), F.lit(0.0))))
+    scaled = cells.join(stats, condition_key).withColumn("scaled", F.transform(use_rep, lambda x, i: F.coalesce(F.try_divide(x - F.col("mean_of")[i], F.col("sd_of")[i]), F.lit(0.0))))
     scaled = scaled.withColumn("vector", array_to_vector("scaled"))
     return PCA(k=min(latent_dim, dims), inputCol="vector", outputCol="pc").fit(scaled).transform(scaled).withColumn(out_key, vector_to_array("pc")).select(*cells.columns, out_key)

@@ -37,7 +37,7 @@ def _enrich(links: DataFrame, sizes: DataFrame, domain: DataFrame, by: list[str]
     all_links = links.groupBy(*by).agg(F.sum("w").alias("ww")) if by else links.agg(F.sum("w").alias("ww"))
     base = all_cells.join(all_links, by, "left") if by else all_cells.crossJoin(all_links)
     # labels times labels times conditions: small by nature
-    grid = base.crossJoin(F.broadcast(domain)).crossJoin(F.broadcast(domain.select(F.col("s").alias("t"))))
+    grid = base.crossJoin(domain).crossJoin(domain.select(F.col("s").alias("t")))
     count = sizes.where("cluster is not null")
     a = count.select(*by, F.col("cluster").alias("s"), F.col("n").alias("ns"))
     b = count.select(*by, F.col("cluster").alias("t"), F.col("n").alias("nt"))

@@ -113,3 +113,13 @@ def test_radius(spark):
     c = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "cell_id long, x double, y double")
     d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
     assert pairs(gr.radius_edges(c, 0.1)) == {(i, j) for i, j in zip(*np.nonzero(d <= 0.1)) if i != j}
+
+
+def test_components_with_a_hub(spark):
+    # a star of 3,000, chains that hang on it, and a part of its own
+    links = [(0, i) for i in range(1, 3001)] + [(i, i + 10_000) for i in range(1, 3001, 7)] + [(50_000, 50_001)]
+    from nichespark.operators.star import star_components
+
+    e = spark.createDataFrame([(b, a) for a, b in links], "src long, dst long")
+    got = {r["node"]: r["component"] for r in star_components(e).collect()}
+    assert got == {n: 50_000 if n >= 50_000 else 0 for pair in links for n in pair}
