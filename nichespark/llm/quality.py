@@ -104,7 +104,7 @@ class Rule:
 #: parts per thousand words, and hundredths of a character per word.
 RULES: dict[str, Rule] = {
     "symbol_rate": Rule("n_symbols * 1000 div n_words", reach=4, spread=50),
-    "repeat_rate": Rule("n_repeat_words * 1000 div n_words", reach=4, spread=60),
+    "repeat_rate": Rule("n_repeat_words * 1000 div n_words", reach=4, spread=110),
     "dup_line_rate": Rule("n_dup_lines * 1000 div n_words", reach=4, spread=20),
     "word_length": Rule("word_chars * 100 div n_words", reach=4, spread=60, low=True),
 }
