@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from nichespark.functions.checks import need
 from nichespark.runtime import settle
 
+#: Numbers up to which the rows are fitted on the driver: below, a Spark job for each step is all overhead.
+LOCAL_NUMBERS = 2_000_000
 #: Rows that starting means are found on.
 INIT_ROWS = 20_000
 MAX_EPOCHS = 100
@@ -113,10 +115,11 @@ class GaussianMixture:
         part = min(1.0, 1.5 * INIT_ROWS / n)
         sample = rows if part == 1.0 else rows.where(F.pmod(F.xxhash64("x", F.lit(self.random_state)), F.lit(1 << 20)) < int(part * (1 << 20)))
         x = np.array([r["x"] for r in sample.orderBy(F.xxhash64("x", F.lit(self.random_state)), "x").limit(INIT_ROWS).collect()])
+        whole = np.array([r["x"] for r in rows.collect()]) if n * x.shape[1] <= LOCAL_NUMBERS else rows
         ridge = self.covariance_regularization
         while True:
             try:
-                self._em(rows, n, x, ridge)
+                self._em(whole, n, x, ridge)
                 return self
             except np.linalg.LinAlgError:
                 ridge *= 10
@@ -131,7 +134,7 @@ class GaussianMixture:
             cov = np.array([np.eye(d) * np.trace(c) / d for c in cov])
         return cov + ridge * np.eye(d)
 
-    def _em(self, rows: DataFrame, n: int, x: np.ndarray, ridge: float) -> None:
+    def _em(self, rows: DataFrame | np.ndarray, n: int, x: np.ndarray, ridge: float) -> None:
         k, d = self.n_clusters, x.shape[1]
         if self.init_means is not None:
             means = np.asarray(self.init_means, float)
@@ -156,30 +159,32 @@ class GaussianMixture:
             before = self.nll_
         self.model_ = model
 
-    def _statistics(self, rows: DataFrame, model: Mixture, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Sums of responsibilities, of x and of x x' by component, and the log-likelihood; summed by Spark per entry."""
+    @staticmethod
+    def _sums(x: np.ndarray, model: Mixture) -> np.ndarray:
+        """Flat sums of responsibilities, of x and of x x' by component, then the log-likelihood."""
+        p = model.log_prob(x)
+        norm = _lse(p)
+        r = np.exp(p - norm[:, None])
+        second = np.array([((x * r[:, i : i + 1]).T @ x).ravel() for i in range(p.shape[1])])
+        return np.append(np.hstack([r.sum(0)[:, None], r.T @ x, second]).ravel(), norm.sum())
+
+    def _statistics(self, rows: DataFrame | np.ndarray, model: Mixture, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The sums over all rows: s0, s1, s2 by component and the log-likelihood; Spark adds them up entry by entry."""
         width = 1 + d + d * d
+        if isinstance(rows, np.ndarray):
+            flat = self._sums(rows, model)
+        else:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(k * width + 1)
+                for b in batches:
+                    if b.num_rows:
+                        total += GaussianMixture._sums(_matrix(b.column(0)), model)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["i", "v"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, ll = np.zeros((k, width)), 0.0
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = _matrix(b.column(0))
-                p = model.log_prob(x)
-                norm = _lse(p)
-                ll += norm.sum()
-                r = np.exp(p - norm[:, None])
-                total[:, 0] += r.sum(0)
-                total[:, 1 : 1 + d] += r.T @ x
-                for i in range(k):
-                    total[i, 1 + d :] += ((x * r[:, i : i + 1]).T @ x).ravel()
-            flat = np.append(total.ravel(), ll)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat)], names=["i", "v"])
-
-        summed = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(k * width + 1)
-        flat[summed["i"]] = summed["v"]
+            summed = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+            flat = np.zeros(k * width + 1)
+            flat[summed["i"]] = summed["v"]
         t = flat[:-1].reshape(k, width)
         return t[:, 0], t[:, 1 : 1 + d], t[:, 1 + d :].reshape(k, d, d), float(flat[-1])
 

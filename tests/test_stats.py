@@ -154,3 +154,17 @@ def test_mixture(spark, tmp_path):
     assert auto.best_k == 2 and {r["cluster"] for r in auto.predict(c).collect()} == {"0", "1"}
     auto.save(f"file://{tmp_path}/a")
     assert tl.ClusterAutoK.load(spark, f"file://{tmp_path}/a").best_k == 2
+
+
+def test_mixture_by_spark_equals_local(spark, monkeypatch):
+    from nichespark.operators import gmm
+
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 0.4, (120, 3)), rng.normal(3, 0.4, (90, 3))])
+    c = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>")
+    here = tl.GaussianMixture(2).fit(c)
+    monkeypatch.setattr(gmm, "LOCAL_NUMBERS", 0)
+    there = tl.GaussianMixture(2).fit(c)
+    assert here.num_iter_ == there.num_iter_
+    np.testing.assert_allclose(here.model_.means, there.model_.means)
+    np.testing.assert_allclose(here.model_.covariances, there.model_.covariances, atol=1e-9)
