@@ -22,7 +22,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 COARSE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NEVER = np.int32(2**31 - 1)
 #: Chunks and pieces that a worker remembers before it starts afresh, and bytes of the longest matrix row.
-REMEMBERED, REMEMBERED_PIECES, LONGEST = 500_000, 1_000_000, 512
+REMEMBERED, REMEMBERED_PIECES, LONGEST = 250_000, 600_000, 512
 
 
 class PairTable:
@@ -61,15 +61,21 @@ class PairTable:
         return out
 
 
+def tokens(ranks_file: bytes) -> np.ndarray:
+    """The bytes of every id."""
+    ranks = {int(r): base64.b64decode(t) for t, r in (line.split() for line in ranks_file.splitlines() if line.strip())}
+    out = np.full(max(ranks) + 1, b"", object)
+    out[list(ranks)] = list(ranks.values())
+    return out
+
+
 class Bpe:
     """Encoder and decoder of one rank file (lines of base64 token and rank)."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
         pairs = [line.split() for line in ranks_file.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
-        self.token = [b""] * (max(self.ranks.values()) + 1)
-        for t, r in self.ranks.items():
-            self.token[r] = t
+        self.token = tokens(ranks_file)
         self.byte_id = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         found = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         self.pair = PairTable(*np.array(found, np.int64).reshape(-1, 3).T)
@@ -172,7 +178,7 @@ class Bpe:
         return [b"".join(map(chunks.__getitem__, p)) for p in parts]
 
     def decode_ids(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        return b"".join(self.token[ids].tolist())
 
 
 @lru_cache(maxsize=2)
@@ -221,7 +227,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, keep_
 
     Null ids within a list are passed by; ids outside the vocabulary raise.
     """
-    path, pattern = _settings(path, None)
+    path, _ = _settings(path, None)
     with open(path, "rb") as f:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
     rows = rows.drop("decoded")
@@ -230,15 +236,17 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, keep_
     kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = np.array(_codec(shared.value, pattern).token, object)
-        for b in batches:
-            column = b.column(at)
-            flat = column.flatten()
-            known = flat.drop_null().to_numpy()
-            counts = [0 if x is None else len(x) - x.count(None) for x in column.to_pylist()] if flat.null_count else column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            pieces, ends = token[known].tolist(), np.cumsum(np.concatenate([[0], counts])).astype(int).tolist()
-            texts = [b"".join(pieces[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [c for i, c in enumerate(b.columns) if keep_ids or i != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*[f.name for f in kept], "decoded"])
+        token = tokens(shared.value)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                column = b.column(at)
+                flat = column.flatten()
+                known = flat.drop_null().to_numpy()
+                counts = [0 if x is None else len(x) - x.count(None) for x in column.to_pylist()] if flat.null_count else column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                pieces, ends = token[known].tolist(), np.cumsum(np.concatenate([[0], counts])).astype(int).tolist()
+                texts = [b"".join(pieces[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                columns = [c for i, c in enumerate(b.columns) if keep_ids or i != at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*[f.name for f in kept], "decoded"])
 
     return rows.mapInArrow(run, kinds)
