@@ -20,9 +20,9 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +39,20 @@ PAD = struct.pack("<II", SKIP_PAD, 1) + b"\n"
 ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("docs", "<u4"), ("check", "<u4")])
 #: A frame ends with the document that brings it to so many ids.
 FRAME_IDS = 1 << 16
-REMEMBERED = 400_000
-#: Chunks made of these characters lower-case and compose alike everywhere, and PIECES cuts them as the tokenizer does.
-PLAIN = re.compile("[\\x21-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+")
+#: Parts of texts that a worker remembers before it starts afresh.
+REMEMBERED = 1_000_000
+#: The tokenizer's way of splitting. Texts of these characters lower-case and compose alike
+#: everywhere, and PIECES cuts them in the same way.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xdf-\\xf6\\xf8-\\xff]+|[0-9]|[^a-z0-9\\xdf-\\xf6\\xf8-\\xff]+")
+PLAIN = re.compile("[ \\t\\n\\r\\x21-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]*")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xdf-\\xf6\\xf8-\\xff]+|[0-9]|[^ \\t\\n\\ra-z0-9\\xdf-\\xf6\\xf8-\\xff]+")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library; parts already seen are looked up.
 
-    Texts are cut at spaces and line ends, which the tokenizer's pattern never joins to what
-    stands beside them. Memory for what was seen is bounded.
+    Texts of plain characters are cut into the pieces that the tokenizer's pattern makes, others
+    at spaces and line ends, which the pattern never joins to what stands beside them. Memory for what was seen is bounded.
     """
 
     def __init__(self, data: bytes):
@@ -64,30 +66,25 @@ class Encoder:
         split = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.shortcut = steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [SPLIT]
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.known: dict[str, bytes] = {}
 
-    def _library(self, parts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for i in range(0, len(parts), 4096) for e in self.tokenizer.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)]
+    def _library(self, parts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for i in range(0, len(parts), 4096) for e in self.tokenizer.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks, self.pieces = {}, {}
-        new = set().union(*parts).difference(self.chunks)
-        cut, rest = {}, []
-        for c in new:
-            if self.shortcut and PLAIN.fullmatch(c) and not self.added.search(c):
-                cut[c] = PIECES.findall(c.lower())
-            else:
-                rest.append(c)
-        fresh = list(set().union(*cut.values()).difference(self.pieces))
-        self.pieces.update(zip(fresh, self._library(fresh), strict=True))
-        self.chunks.update(zip(rest, self._library(rest), strict=True))
-        pieces, chunks = self.pieces, self.chunks
-        for c, s in cut.items():
-            chunks[c] = pieces[s[0]] if len(s) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, s)))
-        return [list(chain.from_iterable(map(chunks.__getitem__, p))) for p in parts]
+        return [array(self.code, x).tolist() for x in self.raw(texts)]
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as machine integers of two or four bytes (see code)."""
+        plain = [self.shortcut and PLAIN.fullmatch(t) is not None and not self.added.search(t) for t in texts]
+        parts = [PIECES.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) >= REMEMBERED:
+            self.known = {}
+        # pieces and chunks share a table: a piece is a chunk that has nothing to cut
+        fresh = list(set().union(*parts).difference(self.known))
+        self.known.update(zip(fresh, self._library(fresh), strict=True))
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 @lru_cache(maxsize=1)
@@ -99,23 +96,22 @@ class FileWriter:
     """Packs documents into frames, and makes the end of the file."""
 
     def __init__(self, width: int):
-        self.kind = np.dtype(f"<u{width}")
         self.width, self.held, self.held_ids = width, [], 0
         self.table: list[tuple[int, int, int, int]] = []
         self.ids: list[int | None] = []
         self.counts: list[int] = []
         self.zstd = zstandard.ZstdCompressor(level=1, write_checksum=True)
 
-    def add(self, doc_id: int | None, ids: list[int]) -> bytes | None:
-        """A finished frame, if this document fills one."""
+    def add(self, doc_id: int | None, ids: bytes) -> bytes | None:
+        """A finished frame, if this document fills one. ids: little-endian, of the file's width."""
         self.ids.append(doc_id)
-        self.counts.append(len(ids))
-        self.held.append(np.array(ids, self.kind))
-        self.held_ids += len(ids)
+        self.counts.append(len(ids) // self.width)
+        self.held.append(ids)
+        self.held_ids += self.counts[-1]
         return self._frame() if self.held_ids >= FRAME_IDS else None
 
     def _frame(self) -> bytes:
-        raw = np.concatenate(self.held).tobytes()
+        raw = b"".join(self.held)
         packed = self.zstd.compress(raw)
         self.table.append((len(packed), len(raw), len(self.held), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.held, self.held_ids = [], 0
@@ -172,10 +168,10 @@ class FileReader:
 
 
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1) -> str:
-    """Write the ids of all documents in ascending order of id_col (nulls first, then by text); the folder.
+    """Write the ids of all documents in ascending order of id_col (nulls first; equal ids by a hash of the text); the folder.
 
     Each whole text (null: empty) is encoded without added special tokens and end_id is appended.
-    Documents are range-partitioned by (id, text), so files follow each other in the order of
+    Documents are range-partitioned by (id, hash), so files follow each other in the order of
     their numbers; files are in the shared folder. Repeated rows are written each; other columns
     are ignored; no rows leave a folder without documents. The vocabulary file is broadcast (of
     fixed size).
@@ -193,19 +189,21 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoder(shared.value)
         gc.disable()  # no cycles are made here
-        writer = FileWriter(2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4)
+        width = array(encoder.code).itemsize
+        writer, end = FileWriter(width), end_id.to_bytes(width, "little")
         emit = lambda parts: pa.RecordBatch.from_arrays([pa.array([(p + PAD)[:-1] for p in parts], pa.binary())], names=["value"])
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
-                done = [x for d, ids in zip(b.column(0).to_pylist(), encoder(b.column(1).to_pylist()), strict=True) if (x := writer.add(d, [*ids, end_id]))]
+                done = [x for d, ids in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True) if (x := writer.add(d, ids + end))]
                 if done:
                     yield emit(done)
         if writer.ids:
             yield emit(writer.end())
 
     folder = new_path(spark, "tokens")
-    ordered = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    # the hash deals out rows that repeat an id; a text as key would come to the driver in the splitters' sample
+    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(folder)
     return folder
 
