@@ -196,7 +196,8 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
         return with_least.join(key_blocks, "key").select("q_key", "q_ids", "q_vectors", "least", "ids", "vectors").mapInPandas(run, result)
 
     lowest = F.lit(None).cast("binary")
-    first = settle(meet(candidates, q.withColumns({"least": lowest, "key": F.lit(0)})))
+    # exploded, not a literal: the optimizer would make a product of a join by a constant
+    first = settle(meet(candidates, q.withColumns({"least": lowest, "key": F.explode(F.array(F.lit(0)))})))
 
     def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(pdf["q_ids"].iloc[0], np.int64)
