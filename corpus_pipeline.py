@@ -14,9 +14,7 @@ from nichespark.llm.langid import fit, predict
 from nichespark.llm.mixing import mix
 from nichespark.llm.quality import judge
 from nichespark.llm.simhash import drop_near_duplicates
-from nichespark.runtime import new_path, settle_table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from nichespark.runtime import new_path
 
 
 def _row_name(docs: DataFrame) -> str:
@@ -27,11 +25,15 @@ def _row_name(docs: DataFrame) -> str:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    row = _row_name(docs)
-    stored = settle_table(docs.withColumn(row, F.monotonically_increasing_id()))
-    kept = judge(stored, keep=(row,)).where("kept").select(row)
-    return stored.join(kept, row, "left_semi").select(*docs.columns)
+    """Documents that the quality rules keep.
+
+    A verdict depends on text, language and source only, so rows and verdicts meet by doc_id and a
+    hash of these; no copy of the texts is stored.
+    """
+    key = _row_name(docs)
+    hashed = docs.withColumn(key, F.xxhash64("text", "lang", "source"))
+    kept = judge(hashed, keep=(key,)).where("kept").select(F.col("doc_id").alias("kept_id"), F.col(key).alias("kept_key")).distinct()
+    return hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["kept_id"]) & (hashed[key] == kept["kept_key"]), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: A document whose winning language has less than so many times an even share of the score is in none that the model knows.
@@ -46,9 +48,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = fit(docs)
     even = CLEAR / len(model.languages) if len(model.languages) > 1 else 0.0
-    row = _row_name(docs)
-    found = predict(docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(row, "text"), model).where((F.col("lang_pred") != "und") & (F.col("score") >= even))
-    return found.withColumn(row, F.col(row).withField("lang", F.col("lang_pred"))).select(f"{row}.*")
+    name = _row_name(docs)
+    found = predict(docs, model, names=(name, f"{name}_score")).where((F.col(name) != "und") & (F.col(f"{name}_score") >= even))
+    return found.withColumn("lang", F.col(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

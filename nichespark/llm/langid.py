@@ -200,18 +200,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (or other names).
 
     The whole text is lower-cased, runs of other characters than letters become one separator, and it is cut into phrases, each the longest that occurs in a
     language's sample; the language with the fewest phrases, normalised by log2 of the sample's length and the
     text's length, wins (ties: the first by code points). score is the share of 1 / rate that
     the winner has among all languages. Null texts and texts without a letter are `und` with
     score 0, as is everything under a model without languages. Only the text decides. Columns
-    named lang_pred and score are replaced.
+    of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(*names)
     at = rows.columns.index(text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -221,6 +221,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
                 lang, score = parser.predict(b.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *names])
 
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
