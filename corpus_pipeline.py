@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from nichespark.llm.bpe import encode
 from nichespark.llm.langid import fit, predict
 from nichespark.llm.mixing import mix
+from nichespark.llm.nearcopies import drop_near_copies
 from nichespark.llm.quality import judge
-from nichespark.llm.simhash import drop_near_duplicates
 from nichespark.runtime import new_path
 
 
@@ -54,8 +54,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
-    return drop_near_duplicates(docs, radius=4, width=4)
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    Shingles of five words and a Jaccard similarity of 0.8 or more; the settings of op2 are those of its contract.
+    """
+    return drop_near_copies(docs, width=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +74,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encoding", encoding)]
 
-#: Language ID and SimHash are not expressible in SQL; the stages are tested against brute force.
+#: Language ID and the exact similarity of shingles are not expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
