@@ -177,21 +177,35 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """A model of labelled rows (null or empty texts and null labels take no part).
 
     It is fitted on a bounded sample: per language whole documents of at most SAMPLE_DOC_CHARS
-    characters, drawn by a hash of the text until sample_chars are reached. Documents are counted
-    by language first, so that the driver gets a few times sample_chars for each language, whatever the
-    input. Copies of a text count once. Without labelled rows the model knows no language.
+    characters, drawn by a hash of the text until sample_chars are reached. A language with fewer
+    characters in such documents takes longer ones too, drawn alike: whole, but of one longer than
+    sample_chars the first sample_chars characters. Documents are counted by language first, so that
+    the driver gets a few times sample_chars for each language, whatever the input. Copies of a
+    text count once. The document with the least hash is always drawn, so every label with a text that
+    isn't empty is learned. Without labelled rows the model knows no language.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    rows = rows.withColumn("n", F.length("text")).where((F.col("n") > 0) & (F.col("n") <= SAMPLE_DOC_CHARS))
-    sizes = rows.groupBy("lang").agg(F.sum("n").alias("chars")).collect()
+    drawn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    rows = rows.withColumns({"n": F.length("text"), "draw": drawn}).where("n > 0").withColumn("long", F.col("n") > SAMPLE_DOC_CHARS)
+    held_of = F.least("n", F.lit(max(sample_chars, SAMPLE_DOC_CHARS)))
+    counted = rows.select("lang", "long", "draw", held_of.alias("n")).distinct()
+    sizes = {(r["lang"], r["long"]): r for r in counted.groupBy("lang", "long").agg(F.sum("n").alias("chars"), F.min("draw").alias("least")).collect()}
     if not sizes:
         return train({})
-    part = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, (3.0 * sample_chars + 3 * SAMPLE_DOC_CHARS) / r["chars"]))])
-    drawn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    found = rows.withColumn("draw", drawn).where(F.col("draw") < F.element_at(part, F.col("lang"))).select("lang", "draw", "text").distinct().collect()
+    limits = []
+    for (lang, long), r in sizes.items():
+        short = sizes.get((lang, False))
+        if long and short and short["chars"] >= sample_chars:
+            continue
+        limits.append((lang, long, max(r["least"], min(1.0, (3.0 * sample_chars + 3 * SAMPLE_DOC_CHARS) / r["chars"]))))
+    part = {x: F.create_map(*[F.lit(y) for lang, long, limit in limits if long == x for y in (lang, limit)]) for x in {long for _, long, _ in limits}}
+    taken = F.lit(False)
+    for x, limit in part.items():
+        taken = taken | ((F.col("long") == x) & F.coalesce(F.col("draw") <= F.try_element_at(limit, F.col("lang")), F.lit(False)))
+    found = rows.where(taken).select("lang", "long", "draw", F.substring("text", 1, max(sample_chars, SAMPLE_DOC_CHARS)).alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {}
     held: dict[str, int] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["draw"], r["text"])):
+    for r in sorted(found, key=lambda r: (r["lang"], r["long"], r["draw"], r["text"])):
         if held.get(r["lang"], 0) < sample_chars:
             samples.setdefault(r["lang"], []).append(r["text"])
             held[r["lang"]] = held.get(r["lang"], 0) + len(r["text"])
