@@ -5,37 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichespark.runtime import settle
+from nichespark.runtime import LEAST, join_counted, settle
 
 
-#: A node with more than this share of all pairs (and more than LEAST of them) is a hub.
-HUB_SHARE, LEAST = 1000, 1000
+def _known(least: DataFrame, n_pairs: int) -> DataFrame:
+    """The minima, settled where their hubs are to be looked up."""
+    return settle(least) if n_pairs > LEAST else least
 
 
 def _with_least(pairs: DataFrame, least: DataFrame, n_pairs: int) -> DataFrame:
-    """pairs with m, their node's minimum.
-
-    least: u, m, n (the node's pairs). There are at most HUB_SHARE hubs, as their pairs add up: these
-    are broadcast, so that no hub's pairs meet in one task. The other nodes are joined by key.
-    """
-    limit = max(n_pairs // HUB_SHARE, LEAST)
-    if n_pairs <= limit:
-        return pairs.join(least.drop("n"), "u")
-    hubs = least.where(F.col("n") > limit).select("u", F.col("m").alias("hub_m"))
-    marked = pairs.join(F.broadcast(hubs), "u", "left")
-    rest = marked.where("hub_m is null").drop("hub_m").join(least.where(F.col("n") <= limit).drop("n"), "u")
-    return marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest.select("u", "v", "m"))
+    """pairs with m, their node's minimum; a node with very many pairs is joined by broadcast."""
+    return join_counted(pairs, least, "u", n_pairs) if n_pairs > LEAST else pairs.join(least.drop("n"), "u")
 
 
 def _large_star(pairs: DataFrame, n_pairs: int) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    least = _known(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), 2 * n_pairs)
     return _with_least(both.where("v > u"), least, 2 * n_pairs).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(pairs: DataFrame, n_pairs: int) -> DataFrame:
     # every pair has u > v here
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = _known(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n_pairs)
     moved = _with_least(pairs, least, n_pairs).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -45,7 +36,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
 
     Both stars aggregate a minimum per node (partial aggregation first) and join it back, so that
     no node's neighbours are gathered in one row, and nodes with very many pairs are joined by
-    broadcast (see _with_least). The number of rounds grows with the logarithm of
+    broadcast (see join_counted). The number of rounds grows with the logarithm of
     the longest path. Self-loops give a component of one node; rows with a null end are ignored.
     """
     ends = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
@@ -59,7 +50,8 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     before = sign(pairs)
     for _ in range(max_rounds):
         # each row of the one star is a row of the pairs, so their number bounds both
-        pairs = settle(_small_star(_large_star(pairs, before[0]), before[0]))
+        large = _large_star(pairs, before[0])
+        pairs = settle(_small_star(settle(large) if before[0] > LEAST else large, before[0]))
         now = sign(pairs)
         if now == before:
             break
