@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands, then exact similarity of texts that collide."""
+"""Near copies by Jaccard similarity of word shingles: ball hashing of several SimHashes, then exact similarity of what collides."""
 
 from __future__ import annotations
 
@@ -6,20 +6,27 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nichespark.llm.simhash import Ball, bucket_groups
 from nichespark.operators.star import star_components
-from nichespark.runtime import release_shuffles, settle, settle_table
-
-#: Texts collide if all ROWS minima of one of BANDS bands are equal: at a similarity of 0.8 with a chance of 0.9996.
-BANDS, ROWS = 20, 5
-#: Shingles whose minima are taken at once.
-BLOCK = 1024
+from nichespark.runtime import fresh_name, join_counted, settle, settle_table
+
+#: SimHashes of a text, and their bits. Two texts collide if one of them differs in at most 2 bits. At a similarity of 0.8 a bit
+#: differs with a chance of 0.15, two texts of that similarity collide with a chance of 0.998, at 0.85 with 0.99998.
+TABLES, BITS, HALF = 48, 32, 1
+#: Colliding pairs that differ in more than so many of 64 other bits are given up: 4 standard deviations above the mean at 0.8.
+FAR = 21
+#: Shingles whose bits are counted at once; a count fits into a byte.
+BLOCK = 255
 #: The leaders of a bucket become so many times more from round to round.
 MORE = 8
+#: Pairs of one text that are verified in one task.
+PAIRS = 1000
 
 
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -43,17 +50,19 @@ def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(11)
-    return tuple(rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
+    return tuple(rng.integers(0, 1 << 64, (1, TABLES + 2), dtype=np.uint64) for _ in range(2))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """A signed long for each band: a hash of the minima of its seeded orders. found: distinct shingles, one at least."""
+def simhashes(found: np.ndarray) -> np.ndarray:
+    """TABLES SimHashes of BITS bits of a set, and two more that make the 64 bits of the first look. found: distinct shingles, one at least."""
     a, b = _factors()
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    ones = np.zeros((TABLES + 2) * BITS, np.int64)
     for i in range(0, len(found), BLOCK):
-        np.minimum(least, ((found[None, i : i + BLOCK] ^ b) * (a | np.uint64(1))).min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+        x = (found[i : i + BLOCK, None] ^ b) * (a | np.uint64(1))
+        x ^= x >> np.uint64(29)
+        high = ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype("<u4")
+        ones += np.unpackbits(high.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u4")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -62,27 +71,83 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sketch(stored: DataFrame, row: str, text_col: str, width: int) -> DataFrame:
-    """row, node (hash of the set of shingles), n (their number) and keys (of the bands; none without a word)."""
+def _sketch(stored: DataFrame, row: str, id_col: str, text_col: str, width: int) -> DataFrame:
+    """row, id, node (hash of the set of shingles), n (their number), look (64 bits) and prints (none without a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, keys = [], [], []
-            for t in b.column(1).to_pylist():
+            node, n, look, prints = [], [], [], []
+            for t in b.column(2).to_pylist():
                 s = shingles(t, width)
+                p = simhashes(s) if len(s) else np.zeros(0, "<u4")
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 n.append(len(s))
-                keys.append(band_keys(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "node", "n", "keys"])
+                look.append(int(p[TABLES:].view("<i8")[0]) if len(s) else 0)
+                prints.append(p[:TABLES].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(look, pa.int64()), pa.array(prints, pa.binary())], names=["row", "id", "node", "n", "look", "prints"])
+
+    rows = stored.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, node long, n long, look long, prints binary")
+
 
-    return stored.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "row long, node long, n long, keys array<long>")
+def collisions(nodes: DataFrame, n_nodes: int, groups: int | None = None) -> DataFrame:
+    """bucket, node: the nodes that share a variant of one of their SimHashes; buckets of the same nodes and table once.
 
+    nodes: node, prints. A table's fingerprints are dealt into buckets by simhash.Ball, with the
+    node's number beside each, and every bucket makes the variants that belong there.
+    """
+    groups = bucket_groups(n_nodes, 1 + BITS, 0, 20) if groups is None else groups
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs a, b whose texts are similar. nodes: node, row; texts: row, t."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ball = Ball(BITS, HALF, groups)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, TABLES)
+            keys, parts = [], []
+            for t in range(TABLES):
+                v = prints[:, t].astype(np.uint64)
+                bucket, place = ball.addresses(v)
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+                for i, j in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                    keys.append((t << 32) | int(bucket[i]))
+                    parts.append(node[place[i:j]].tobytes() + prints[place[i:j], t].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "packed"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["bucket"].iloc[0])
+        sizes = [len(p) // 12 for p in pdf["packed"]]
+        node = np.concatenate([np.frombuffer(p, np.int64, k) for p, k in zip(pdf["packed"], sizes, strict=True)])
+        v = np.concatenate([np.frombuffer(p, "<u4", k, 8 * k) for p, k in zip(pdf["packed"], sizes, strict=True)]).astype(np.uint64)
+        order = np.argsort(node)
+        node, v = node[order], v[order]
+        key_of, node_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for key, place in Ball(BITS, HALF, groups).collisions(v, at & 0xFFFFFFFF):
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            # equal sets of members have equal sums of hashes
+            mixed = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            once = np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), new), return_index=True)[1]
+            kept = np.isin(np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key)))), once)
+            key_of.append((key[kept] | np.uint64((at >> 32) << 32)).view(np.int64))
+            node_of.append(node[place[kept]])
+        return pd.DataFrame({"bucket": np.concatenate(key_of), "node": np.concatenate(node_of)})
+
+    packed = nodes.where(F.length("prints") > 0).select("node", "prints").coalesce(max(8, n_nodes >> 16)).mapInArrow(emit, "bucket long, packed binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "bucket long, node long")
+
+
+def _verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs a, b whose texts are similar. nodes: node, row; texts: row, t.
+
+    A text of very many pairs is copied once for each PAIRS of them, so that they are no hot task.
+    """
+    counted = settle(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("copies", F.expr(f"n div {PAIRS} + 1")))
+    salted = join_counted(pairs, counted, "a", n_pairs).select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("salt"))
+    needed = counted.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = settle_table(texts.join(nodes.join(needed, "node", "left_semi").select("node", "row"), "row").select("node", "t"))
-    a = held.select(F.col("node").alias("a"), F.col("t").alias("ta"))
+    a = held.select(F.col("node").alias("a"), F.col("t").alias("ta")).join(counted.drop("n"), "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
     b = held.select(F.col("node").alias("b"), F.col("t").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,45 +162,44 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    # the first of a pair is mostly the leader of many: its text comes last, so that it is shuffled once
-    return settle(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return settle(salted.join(b, "b").join(a, ["a", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
 def near_copy_links(nodes: DataFrame, texts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame | None:
     """a, b: links between similar nodes that connect all similar nodes which collide; None without any.
 
-    nodes: row, node, n, keys, settled, a row for each node; texts: row, t. In rounds, leaders of each bucket
-    are held against its members of other components, and then leave the bucket; a bucket is done when
-    one component is left in it. So each colliding pair is compared, unless it is already connected, and
-    a bucket of many near copies costs a comparison each. No cap is set.
+    nodes: row, node, n, look, prints, settled, a row for each node; texts: row, t. In rounds, leaders of
+    each bucket are held against its members of other components, and then leave the bucket; a
+    bucket is done when one component is left in it. So each colliding pair is compared, unless
+    it is already connected, cannot be similar by its sizes, or differs in too many other bits, and a
+    bucket of many near copies costs a comparison each. No cap is set.
     """
-    spark = nodes.sparkSession
-    every = nodes.select("node", "n", F.explode("keys").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    entries = settle(every.join(shared, "bucket", "left_semi").withColumn("comp", F.col("node")))
+    n_nodes = nodes.count()
+    met = collisions(nodes, n_nodes)
+    entries = settle(met.join(nodes.select("node", "n", "look"), "node").withColumn("comp", F.col("node")))
     links = tried = None
     parts = 1
-    while True:
+    while n_entries := entries.count():
         part = F.pmod(F.xxhash64("node"), F.lit(parts)) if parts > 1 else F.lit(0)
-        leaders = entries.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "n", "comp")).alias("lead")).select("bucket", F.col("lead.node").alias("l"), F.col("lead.n").alias("ln"), F.col("lead.comp").alias("lc"))
-        leaders = settle(leaders)
-        near = (F.col("comp") != F.col("lc")) & (F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent)
-        pairs = entries.join(leaders, "bucket").where(near).select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
+        led = entries.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "n", "look", "comp")).alias("lead"), F.count("*").alias("n"))
+        led = led.withColumn("n", F.sum("n").over(Window.partitionBy("bucket")))
+        leaders = settle(led.select("bucket", "n", F.col("lead.node").alias("l"), F.col("lead.n").alias("ln"), F.col("lead.look").alias("ll"), F.col("lead.comp").alias("lc")))
+        met = join_counted(entries.withColumnRenamed("n", "size"), leaders, "bucket", n_entries)
+        near = (F.col("comp") != F.col("lc")) & (F.least("size", "ln") * 100 >= F.greatest("size", "ln") * percent) & (F.bit_count(F.col("look").bitwiseXOR(F.col("ll"))) <= FAR)
+        pairs = met.where(near).select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
         pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         entries = entries.join(leaders.select("bucket", F.col("l").alias("node")), ["bucket", "node"], "left_anti")
-        if not pairs.isEmpty():
-            good = _verified(pairs, nodes.select("node", "row"), texts, width, percent)
+        if n_pairs := pairs.count():
+            good = _verified(pairs, n_pairs, nodes.select("node", "row"), texts, width, percent)
             links = good if links is None else links.unionByName(good)
             tried = pairs if tried is None else tried.unionByName(pairs)
             roots = star_components(links, "a", "b")
-            entries = entries.drop("comp").join(roots, "node", "left").select("node", "n", "bucket", F.coalesce("component", "node").alias("comp"))
+            entries = entries.drop("comp").join(roots, "node", "left").select("node", "n", "look", "bucket", F.coalesce("component", "node").alias("comp"))
         entries = settle(entries)
-        several = entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        entries = settle(entries.join(several, "bucket", "left_semi"))
-        release_shuffles(spark)
-        if entries.isEmpty():
-            return links
+        several = settle(entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"))
+        entries = settle(join_counted(entries.withColumnRenamed("n", "size"), several, "bucket", n_entries).withColumnRenamed("size", "n"))
         parts *= MORE
+    return links
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,20 +210,17 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     each other. Repeated rows with the smallest id leave one; documents with a null id count
     after all others. Other columns, whatever their names, are kept as they are.
     """
-    row = "copies_row"
-    while row in docs.columns:
-        row += "_"
+    row = fresh_name(docs.columns, "copies_row")
     stored = settle_table(docs.withColumn(row, F.monotonically_increasing_id()))
-    rows = settle(_sketch(stored, row, text_col, width))
-    first = rows.groupBy("node").agg(F.min("row").alias("row")).select("row")
-    nodes = settle(rows.join(first, "row", "left_semi"))
+    rows = settle(_sketch(stored, row, id_col, text_col, width))
+    first = settle(rows.groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("n")))
+    nodes = settle(rows.join(first.select("row"), "row", "left_semi"))
     links = near_copy_links(nodes, stored.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("t")), width, percent)
-    placed = rows.select("row", "node")
     if links is None:
-        placed = placed.withColumn("component", F.col("node"))
+        placed = rows.withColumn("component", F.col("node"))
     else:
-        placed = placed.join(star_components(links, "a", "b"), "node", "left").select("row", F.coalesce("component", "node").alias("component"))
-    ids = stored.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
+        sizes = first.select("node", "n").join(star_components(links, "a", "b"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+        placed = join_counted(rows.drop("n"), settle(sizes), "node", rows.count())
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    kept = placed.join(ids, "row").groupBy("component").agg(F.min_by("row", order).alias(row)).select(row)
+    kept = placed.groupBy("component").agg(F.min_by("row", order).alias(row)).select(row)
     return stored.join(kept, row, "left_semi").drop(row)

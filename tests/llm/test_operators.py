@@ -85,16 +85,17 @@ def components(ids, prints, radius):
 
 
 def test_simhash(odd, none, odd_rows):
-    got = simhash.near_duplicates(odd, slices=2).collect()
+    got = simhash.near_duplicates(odd).collect()
     prints = [slow_fingerprint(r[1]) for r in odd_rows]
     least = components([r[0] for r in odd_rows], prints, 4)
     want = Counter((r[0], p, least[i]) for i, (r, p) in enumerate(zip(odd_rows, prints)))
     assert Counter((r["doc_id"], r["simhash"] & (2**64 - 1), r["component_id"]) for r in got) == want
-    assert simhash.near_duplicates(none, slices=2).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("radius, slices", [(4, 3), (2, 1)])
-def test_ball_links_find_all_and_only(spark, radius, slices):
+@pytest.mark.parametrize("radius, groups", [(4, 6), (4, 13), (2, 0)])
+def test_ball_links_find_all_and_only(spark, radius, groups, monkeypatch):
+    monkeypatch.setattr(simhash, "PASS_VARIANTS", 2000)
     rng = random.Random(radius)
     prints = set()
     for _ in range(25):
@@ -105,7 +106,9 @@ def test_ball_links_find_all_and_only(spark, radius, slices):
                 base ^= 1 << rng.randrange(64)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    links = simhash.ball_links(spark.createDataFrame([(s,) for s in signed], "simhash long"), radius, slices)
+    links = simhash.ball_links(spark.createDataFrame([(s,) for s in signed], "simhash long"), radius, groups=groups).cache()
+    # every link is within the radius, and none is made twice
+    assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= radius for r in links.collect())
     groups = components(signed, prints, radius)
     parent = {s: s for s in signed}
 
@@ -119,13 +122,6 @@ def test_ball_links_find_all_and_only(spark, radius, slices):
     assert {s: find(s) for s in signed} == {signed[i]: g for i, g in groups.items()}
 
 
-def test_drop_near_duplicates(odd, odd_rows):
-    left = simhash.drop_near_duplicates(odd, slices=2)
-    assert left.columns == odd.columns
-    prints = [slow_fingerprint(r[1]) for r in odd_rows]
-    assert left.count() == len(set(components([(r[0] is None, r[0] or 0, i) for i, r in enumerate(odd_rows)], prints, 4).values()))
-
-
 def test_mixing(odd, none, odd_rows):
     got = mixing.mix_counts(odd).collect()
     sizes = Counter()
