@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichespark.llm.simhash import Ball, bucket_groups
+from nichespark.llm.simhash import Ball, bucket_groups, spanning
 from nichespark.operators.star import star_components
 from nichespark.runtime import fresh_name, join_counted, settle, settle_table
 
@@ -90,11 +90,24 @@ def _sketch(stored: DataFrame, row: str, id_col: str, text_col: str, width: int)
     return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, node long, n long, look long, prints binary")
 
 
-def collisions(nodes: DataFrame, n_nodes: int, groups: int | None = None) -> DataFrame:
-    """bucket, node: the nodes that share a variant of one of their SimHashes; buckets of the same nodes and table once.
+#: A node on its way to a bucket: its number, the look, the number of its shingles, and the table's SimHash.
+ENTRY = np.dtype([("node", "<i8"), ("look", "<i8"), ("n", "<u4"), ("print", "<u4")])
 
-    nodes: node, prints. A table's fingerprints are dealt into buckets by simhash.Ball, with the
-    node's number beside each, and every bucket makes the variants that belong there.
+
+def _may_be(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of entries can be similar by their sizes, and are by their look."""
+    low, high = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
+    return (np.bitwise_count((a["look"] ^ b["look"]).view(np.uint64)) <= FAR) & (low * 100 >= high * percent)
+
+
+def collisions(nodes: DataFrame, n_nodes: int, percent: int, groups: int | None = None) -> DataFrame:
+    """bucket, a, b: the nodes that share a variant of one of their SimHashes, in two kinds of rows.
+
+    With b null: node a has the variant `bucket` (variants of the same nodes and table once, those of a single
+    node not at all). With b: a pair of nodes that share a variant and may be similar; the first node of
+    each variant with all others, thinned to a spanning forest for each table and bucket.
+    nodes: node, n, look, prints. A table's fingerprints are dealt into buckets by simhash.Ball,
+    and every bucket makes the variants that belong there.
     """
     groups = bucket_groups(n_nodes, 1 + BITS, 0, 20) if groups is None else groups
 
@@ -103,39 +116,49 @@ def collisions(nodes: DataFrame, n_nodes: int, groups: int | None = None) -> Dat
         for b in batches:
             if not b.num_rows:
                 continue
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            prints = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, TABLES)
+            entry = np.empty(b.num_rows, ENTRY)
+            for name, column in zip(("node", "n", "look"), b.columns, strict=False):
+                entry[name] = column.to_numpy(zero_copy_only=False)
+            prints = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u4").reshape(-1, TABLES)
             keys, parts = [], []
             for t in range(TABLES):
-                v = prints[:, t].astype(np.uint64)
-                bucket, place = ball.addresses(v)
+                entry["print"] = prints[:, t]
+                bucket, place = ball.addresses(prints[:, t].astype(np.uint64))
                 starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
                 for i, j in zip(starts, [*starts[1:], len(bucket)], strict=True):
                     keys.append((t << 32) | int(bucket[i]))
-                    parts.append(node[place[i:j]].tobytes() + prints[place[i:j], t].tobytes())
+                    parts.append(entry[place[i:j]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "packed"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(pdf["bucket"].iloc[0])
-        sizes = [len(p) // 12 for p in pdf["packed"]]
-        node = np.concatenate([np.frombuffer(p, np.int64, k) for p, k in zip(pdf["packed"], sizes, strict=True)])
-        v = np.concatenate([np.frombuffer(p, "<u4", k, 8 * k) for p, k in zip(pdf["packed"], sizes, strict=True)]).astype(np.uint64)
-        order = np.argsort(node)
-        node, v = node[order], v[order]
-        key_of, node_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for key, place in Ball(BITS, HALF, groups).collisions(v, at & 0xFFFFFFFF):
+        entry = np.frombuffer(b"".join(pdf["packed"]), ENTRY)
+        entry = entry[np.argsort(entry["node"])]
+        keys, members, one, two = [], [], [], []
+        for key, place in Ball(BITS, HALF, groups).collisions(entry["print"].astype(np.uint64), at & 0xFFFFFFFF):
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            of = np.diff(np.append(new, len(key)))
             # equal sets of members have equal sums of hashes
             mixed = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             once = np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), new), return_index=True)[1]
-            kept = np.isin(np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key)))), once)
-            key_of.append((key[kept] | np.uint64((at >> 32) << 32)).view(np.int64))
-            node_of.append(node[place[kept]])
-        return pd.DataFrame({"bucket": np.concatenate(key_of), "node": np.concatenate(node_of)})
-
-    packed = nodes.where(F.length("prints") > 0).select("node", "prints").coalesce(max(8, n_nodes >> 16)).mapInArrow(emit, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "bucket long, node long")
+            kept = np.isin(np.repeat(np.arange(len(new)), of), once)
+            head, place = np.repeat(place[new], of)[kept], place[kept]
+            keys.append(key[kept].view(np.int64) | (at >> 32) << 32)
+            members.append(place)
+            near = (head != place) & _may_be(entry[head], entry[place], percent)
+            one.append(head[near])
+            two.append(place[near])
+        if not keys:
+            return pd.DataFrame({"bucket": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "b": pd.array([], "Int64")})
+        x, y = np.concatenate(one), np.concatenate(two)
+        some = spanning(x, y)
+        x, y, members = entry["node"][x[some]], entry["node"][y[some]], entry["node"][np.concatenate(members)]
+        mask = np.append(np.zeros(len(x), bool), np.ones(len(members), bool))
+        return pd.DataFrame({"bucket": np.append(np.full(len(x), -1), np.concatenate(keys)), "a": np.append(x, members), "b": pd.arrays.IntegerArray(np.append(y, np.zeros(len(members), np.int64)), mask)})
+
+    packed = nodes.where(F.length("prints") > 0).select("node", "n", "look", "prints").coalesce(max(8, n_nodes >> 16)).mapInArrow(emit, "bucket long, packed binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "bucket long, a long, b long")
 
 
 def _verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -165,41 +188,53 @@ def _verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, texts: DataFrame
     return settle(salted.join(b, "b").join(a, ["a", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def near_copy_links(nodes: DataFrame, texts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame | None:
-    """a, b: links between similar nodes that connect all similar nodes which collide; None without any.
+def _labels(links: DataFrame) -> DataFrame:
+    """node, label: the smallest node within two links; nodes of equal labels are connected."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    far = both.join(near.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+    return settle(far)
 
-    nodes: row, node, n, look, prints, settled, a row for each node; texts: row, t. In rounds, leaders of
-    each bucket are held against its members of other components, and then leave the bucket; a
-    bucket is done when one component is left in it. So each colliding pair is compared, unless
-    it is already connected, cannot be similar by its sizes, or differs in too many other bits, and a
-    bucket of many near copies costs a comparison each. No cap is set.
+
+def near_copy_links(nodes: DataFrame, n_nodes: int, texts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """a, b: links between similar nodes that connect all similar nodes which collide.
+
+    nodes: row, node, n, look, prints, settled, a row for each node; texts: row, t. At first the pairs of
+    collisions() are compared. Then, in rounds, leaders of each variant are held against its other
+    members, and leave it; a variant is done when all that is left in it is known to be connected. So each
+    colliding pair is compared, unless it is already connected, cannot be similar by its
+    sizes, or differs in too many other bits, and a variant of many near copies costs few comparisons each. No cap is set.
     """
-    n_nodes = nodes.count()
-    met = collisions(nodes, n_nodes)
-    entries = settle(met.join(nodes.select("node", "n", "look"), "node").withColumn("comp", F.col("node")))
+    met = settle(collisions(nodes, n_nodes, percent))
+    pairs = settle(met.where("b is not null").select("a", "b").distinct())
+    entries = met.where("b is null").select("bucket", F.col("a").alias("node")).join(nodes.select("node", F.col("n").alias("size"), "look"), "node")
     links = tried = None
     parts = 1
-    while n_entries := entries.count():
-        part = F.pmod(F.xxhash64("node"), F.lit(parts)) if parts > 1 else F.lit(0)
-        led = entries.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "n", "look", "comp")).alias("lead"), F.count("*").alias("n"))
-        led = led.withColumn("n", F.sum("n").over(Window.partitionBy("bucket")))
-        leaders = settle(led.select("bucket", "n", F.col("lead.node").alias("l"), F.col("lead.n").alias("ln"), F.col("lead.look").alias("ll"), F.col("lead.comp").alias("lc")))
-        met = join_counted(entries.withColumnRenamed("n", "size"), leaders, "bucket", n_entries)
-        near = (F.col("comp") != F.col("lc")) & (F.least("size", "ln") * 100 >= F.greatest("size", "ln") * percent) & (F.bit_count(F.col("look").bitwiseXOR(F.col("ll"))) <= FAR)
-        pairs = met.where(near).select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
-        pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        entries = entries.join(leaders.select("bucket", F.col("l").alias("node")), ["bucket", "node"], "left_anti")
+    while True:
         if n_pairs := pairs.count():
             good = _verified(pairs, n_pairs, nodes.select("node", "row"), texts, width, percent)
             links = good if links is None else links.unionByName(good)
             tried = pairs if tried is None else tried.unionByName(pairs)
-            roots = star_components(links, "a", "b")
-            entries = entries.drop("comp").join(roots, "node", "left").select("node", "n", "look", "bucket", F.coalesce("component", "node").alias("comp"))
+            entries = entries.drop("label").join(_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        elif links is None:
+            links = pairs
+            entries = entries.withColumn("label", F.col("node"))
         entries = settle(entries)
-        several = settle(entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n"))
-        entries = settle(join_counted(entries.withColumnRenamed("n", "size"), several, "bucket", n_entries).withColumnRenamed("size", "n"))
+        part = F.pmod(F.xxhash64("node"), F.lit(parts)) if parts > 1 else F.lit(0)
+        led = entries.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "size", "look", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+        every = Window.partitionBy("bucket")
+        led = led.withColumns({"n": F.sum("n").over(every), "lo": F.min("lo").over(every), "hi": F.max("hi").over(every)}).where("lo < hi")
+        leaders = settle(led.select("bucket", "n", F.col("lead.node").alias("l"), F.col("lead.size").alias("ls"), F.col("lead.look").alias("ll"), F.col("lead.label").alias("lb")))
+        n_entries = leaders.select("bucket", "n").distinct().agg(F.sum("n")).first()[0]
+        if not n_entries:
+            return links
+        near = (F.col("label") != F.col("lb")) & (F.least("size", "ls") * 100 >= F.greatest("size", "ls") * percent) & (F.bit_count(F.col("look").bitwiseXOR(F.col("ll"))) <= FAR)
+        found = join_counted(entries, leaders, "bucket", n_entries).where(near).select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
+        pairs = settle(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+        # variants that are done have no leader, and leave too
+        done = leaders.select("bucket", F.col("l").alias("node"))
+        entries = join_counted(entries, leaders.groupBy("bucket").agg(F.first("n").alias("n")), "bucket", n_entries).join(done, ["bucket", "node"], "left_anti")
         parts *= MORE
-    return links
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,14 +248,12 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     row = fresh_name(docs.columns, "copies_row")
     stored = settle_table(docs.withColumn(row, F.monotonically_increasing_id()))
     rows = settle(_sketch(stored, row, id_col, text_col, width))
-    first = settle(rows.groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("n")))
+    first = settle(rows.groupBy("node").agg(F.min("row").alias("row"), F.count("*").alias("copies")))
     nodes = settle(rows.join(first.select("row"), "row", "left_semi"))
-    links = near_copy_links(nodes, stored.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("t")), width, percent)
-    if links is None:
-        placed = rows.withColumn("component", F.col("node"))
-    else:
-        sizes = first.select("node", "n").join(star_components(links, "a", "b"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
-        placed = join_counted(rows.drop("n"), settle(sizes), "node", rows.count())
+    n_nodes, n_rows = first.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    links = near_copy_links(nodes, n_nodes, stored.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("t")), width, percent)
+    of = first.select("node", F.col("copies").alias("n")).join(star_components(links, "a", "b"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    placed = join_counted(rows.select("row", "id", "node"), settle(of), "node", n_rows)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     kept = placed.groupBy("component").agg(F.min_by("row", order).alias(row)).select(row)
     return stored.join(kept, row, "left_semi").drop(row)

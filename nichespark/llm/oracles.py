@@ -43,19 +43,24 @@ def _bin(v: str) -> str:
 
 
 def _op4() -> str:
-    rates = {k: r.rate.replace(" div ", " // ") for k, r in RULES.items()}
-    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {_bin('CAST(' + v + ' AS BIGINT)')} bin FROM m WHERE NOT base_failed" for k, v in rates.items())
+    rates = {k: r.rate.replace(" div n_words", " // nullif(n_words, 0)") for k, r in RULES.items()}
+    smooth = {k: r.smooth.replace(" div ", " // ") for k, r in RULES.items()}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {_bin('CAST(' + v + ' AS BIGINT)')} bin FROM m WHERE NOT base_failed" for k, v in smooth.items())
+    top = "CASE rule " + " ".join(f"WHEN '{k}' THEN {r.top}" for k, r in RULES.items()) + " END"
 
     def level(name: str, keys: str) -> str:
         by = f"{keys}, rule" if keys else "rule"
+        points = ", ".join(f"min(CASE WHEN upto * 100 >= docs * {q} THEN bin END) {k}" for k, q in (("low", LOW), ("mid", MID), ("top", top)))
         return f"""{name}_c AS (SELECT {by}, bin, count(*) n FROM sk GROUP BY ALL),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bin) upto, sum(n) OVER (PARTITION BY {by}) docs FROM {name}_c),
-{name} AS (SELECT {by}, max(docs) docs, min(CASE WHEN upto * 100 >= docs * {LOW} THEN bin END) low, min(CASE WHEN upto * 100 >= docs * {MID} THEN bin END) mid FROM {name}_r GROUP BY {by})"""
+{name} AS (SELECT {by}, max(docs) docs, {points} FROM {name}_r GROUP BY {by})"""
+
+    def pick(k: str) -> str:
+        return f"CASE WHEN f.docs >= {MIN_DOCS} THEN f.{k} WHEN g.docs >= {MIN_DOCS} THEN g.{k} ELSE h.{k} END {k}"
 
     tests = []
     for k, r in RULES.items():
-        v, width = f"m.{k}", f"{r.reach} * greatest(mid - low, {r.spread})"
-        ok = ([f"{v} <= mid + {width}"] if r.high else []) + ([f"{v} >= mid - {width}"] if r.low else [])
+        ok = [f"m.{k} <= top + {r.reach} * greatest(top - mid, coalesce(up, 0))"] + ([f"m.{k} >= low - {r.reach} * greatest(mid - low, coalesce(down, 0))"] if r.low else [])
         tests.append(f"WHEN '{k}' THEN {' AND '.join(ok)}")
     return rf"""WITH b AS (SELECT row_number() OVER () id, doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{W}') w FROM documents),
 win AS (SELECT id, i, concat_ws(' ', w[i], w[i+1], w[i+2]) x FROM (SELECT id, w, unnest(range(1, len(w) - 1)) i FROM b)),
@@ -65,12 +70,12 @@ lines AS (SELECT id, list_filter(string_split(t, chr(10)), lambda x: regexp_matc
 m0 AS (SELECT id, doc_id, lang, source, len(w) n_words, length(array_to_string(w, '')) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
   len(l) - len(list_distinct(l)) n_dup_lines, coalesce(cov.n, 0) n_repeat_words FROM b JOIN lines USING (id) LEFT JOIN cov USING (id)),
 m1 AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
-m AS (SELECT *, {', '.join(f'{v.replace("// n_words", "// nullif(n_words, 0)")} AS {k}' for k, v in rates.items())} FROM m1),
+m AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in rates.items())} FROM m1),
 sk AS ({long}),
 {level('fine', 'lang, source')}, {level('mid_l', 'lang')}, {level('all_l', '')},
-q AS (SELECT f.lang, f.source, f.rule, CASE WHEN f.docs >= {MIN_DOCS} THEN f.low WHEN g.docs >= {MIN_DOCS} THEN g.low ELSE h.low END low,
-  CASE WHEN f.docs >= {MIN_DOCS} THEN f.mid WHEN g.docs >= {MIN_DOCS} THEN g.mid ELSE h.mid END mid
-  FROM fine f JOIN mid_l g ON f.lang IS NOT DISTINCT FROM g.lang AND f.rule = g.rule JOIN all_l h ON h.rule = f.rule),
+usual AS (SELECT lang, rule, quantile_disc(top - mid, 0.5) up, quantile_disc(mid - low, 0.5) down FROM fine WHERE docs >= {MIN_DOCS} GROUP BY ALL),
+q AS (SELECT f.lang, f.source, f.rule, {pick('low')}, {pick('mid')}, {pick('top')}, u.up, u.down
+  FROM fine f JOIN mid_l g ON f.lang IS NOT DISTINCT FROM g.lang AND f.rule = g.rule JOIN all_l h ON h.rule = f.rule LEFT JOIN usual u ON f.lang IS NOT DISTINCT FROM u.lang AND f.rule = u.rule),
 ok AS (SELECT m.id, bool_and(CASE q.rule {' '.join(tests)} END) inside FROM m JOIN q ON m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source GROUP BY m.id)
 SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(word_chars AS BIGINT) word_chars, CAST(n_symbols AS BIGINT) n_symbols, CAST(n_dup_lines AS BIGINT) n_dup_lines,
   CAST(n_repeat_words AS BIGINT) n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, false) AS kept FROM m LEFT JOIN ok USING (id)"""

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nichespark.runtime import settle
+
 #: What parts words: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Texts of fewer words than this sort their windows as packed longs, longer ones as structs.
-PACKED_WORDS = 1 << 15
 
 
 def let(value: Column, body) -> Column:
@@ -35,9 +35,8 @@ def _covered(marks: Column, width: int) -> Column:
 def repeated_words(words: Column, width: int = 3) -> Column:
     """How many words stand in windows of `width` words that occur twice or more in the text.
 
-    A window is the hash of its words' hashes (64 bits). Hashes are sorted together with their
-    places: packed into longs for usual texts (the full hashes of neighbours are compared then),
-    as structs for very long ones.
+    A window is the hash of its words' hashes (64 bits). Where not all are distinct, hashes are sorted
+    together with their places, and neighbours compared.
     """
 
     def windows(h: Column) -> Column:
@@ -59,15 +58,8 @@ def repeated_words(words: Column, width: int = 3) -> Column:
         )
 
     def counted(win: Column) -> Column:
-        def packed(shift: Column) -> Column:
-            low = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
-            codes = F.sort_array(F.transform(win, lambda x, i: F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift).bitwiseOR(i.cast("long"))))
-            return let(F.transform(codes, lambda c: c.bitwiseAND(low)), lambda places: pairs_to_marks(places, win))
-
-        structs = F.transform(F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i")))), lambda s: s["i"])
-        # the number of bits that places need
-        bits = F.length(F.bin(F.size(win).cast("long")))
-        return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).when(F.size(win) < PACKED_WORDS, let(bits, packed)).otherwise(let(structs, lambda places: pairs_to_marks(places, win)))
+        places = F.transform(F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i")))), lambda s: s["i"])
+        return F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(let(places, lambda p: pairs_to_marks(p, win)))
 
     return F.when(F.size(words) < width, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), counted)))
 
@@ -86,29 +78,32 @@ def measures(text: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rate (an integer column expression) with fences on one or both sides.
-
-    A row fails if its rate is more than reach times the spread away from the median. The spread
-    is what lies between the lower quartile and the median, and at least `spread`: taken from the
-    lower half, it stays what it is while up to half of a group is junk with high rates.
+    """A rate with a fence above its group's upper quantile, and one below its lower quartile if `low`.
+
+    rate is an integer expression, so that all engines agree. The sketch takes `smooth`, which counts
+    one more event than there is: a rate that is zero for most of a group still shows there how finely
+    texts of their lengths can tell rates apart. A row fails if its rate is more than reach times the
+    spread above the `top` percent point. The spread is what lies between the median and that point in
+    its group, or what is usual (the median) in the groups of its language, if that is wider, as copies
+    may make a group narrow. No constant bounds it.
     """
 
     rate: str
+    smooth: str
     reach: int
-    spread: int
-    high: bool = True
+    top: int = 75
     low: bool = False
 
 
-#: Rates are integers, so that all engines agree: symbols, repeated words and repeated lines in
-#: parts per thousand words, and hundredths of a character per word.
+#: Symbols, repeated words and repeated lines in parts per 100,000 words, and hundredths of a character per word. Repeated
+#: words stand in few clean texts, but many of them there: their fence lies by a higher quantile.
 RULES: dict[str, Rule] = {
-    "symbol_rate": Rule("n_symbols * 1000 div n_words", reach=4, spread=50),
-    "repeat_rate": Rule("n_repeat_words * 1000 div n_words", reach=4, spread=110),
-    "dup_line_rate": Rule("n_dup_lines * 1000 div n_words", reach=4, spread=20),
-    "word_length": Rule("word_chars * 100 div n_words", reach=4, spread=60, low=True),
+    "symbol_rate": Rule("n_symbols * 100000 div n_words", "(n_symbols + 1) * 100000 div n_words", reach=16),
+    "repeat_rate": Rule("n_repeat_words * 100000 div n_words", "(n_repeat_words + 1) * 100000 div n_words", reach=16, top=90),
+    "dup_line_rate": Rule("n_dup_lines * 100000 div n_words", "(n_dup_lines + 1) * 100000 div n_words", reach=16),
+    "word_length": Rule("word_chars * 100 div n_words", "word_chars * 100 div n_words", reach=10, low=True),
 }
-#: Quantiles of a sketch that make the fences, in percent.
+#: The other quantiles of a sketch that make the fences, in percent.
 LOW, MID = 25, 50
 #: A sketch of fewer documents is replaced by that of its language, then by that of all.
 MIN_DOCS = 100
@@ -130,53 +125,63 @@ def sketches(rows: DataFrame, rates: list[str], keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rule, docs, low, mid: the first bin at which so large a part of the documents is reached."""
+    """keys, rule, q: docs, and the first bins at which a quarter (low), half (mid) and the rule's top percent of the documents are reached."""
     by = Window.partitionBy(*keys, "rule")
     run = sketch.withColumns({"upto": F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "docs": F.sum("n").over(by)})
-    at = {"low": LOW, "mid": MID}
-    return run.groupBy(*keys, "rule").agg(F.max("docs").alias("docs"), *[F.min(F.when(F.col("upto") * 100 >= F.col("docs") * q, F.col("bin"))).alias(k) for k, q in at.items()])
+    top = F.expr("CASE rule " + " ".join(f"WHEN '{k}' THEN {r.top}" for k, r in RULES.items()) + " END")
+    at = {"low": F.lit(LOW), "mid": F.lit(MID), "top": top}
+    found = run.groupBy(*keys, "rule").agg(F.max("docs").alias("docs"), *[F.min(F.when(F.col("upto") * 100 >= F.col("docs") * q, F.col("bin"))).alias(k) for k, q in at.items()])
+    return found.select(*keys, "rule", F.struct("docs", "low", "mid", "top").alias("q"))
+
+
+def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """q_lang, q_source, rule, floor (null without one) and ceiling of every group's sketch."""
+    sketch = settle(sketch)
+    by_lang = sketch.groupBy("q_lang", "rule", "bin").agg(F.sum("n").alias("n"))
+    by_all = sketch.groupBy("rule", "bin").agg(F.sum("n").alias("n"))
+    a = quantiles(sketch, ["q_lang", "q_source"]).withColumnRenamed("q", "a")
+    b = quantiles(by_lang, ["q_lang"]).select(F.col("q_lang").alias("b_lang"), F.col("rule").alias("b_rule"), F.col("q").alias("b"))
+    c = quantiles(by_all, []).select(F.col("rule").alias("c_rule"), F.col("q").alias("c"))
+    best = a.join(b, F.col("q_lang").eqNullSafe(F.col("b_lang")) & (F.col("rule") == F.col("b_rule"))).join(c, F.col("rule") == F.col("c_rule"))
+    wide = a.where(F.col("a.docs") >= min_docs).groupBy(F.col("q_lang").alias("w_lang"), F.col("rule").alias("w_rule"))
+    wide = wide.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY a.top - a.mid)").alias("up"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY a.mid - a.low)").alias("down"))
+    best = best.join(wide, F.col("q_lang").eqNullSafe(F.col("w_lang")) & (F.col("rule") == F.col("w_rule")), "left")
+    best = best.withColumn("q", F.when(F.col("a.docs") >= min_docs, F.col("a")).when(F.col("b.docs") >= min_docs, F.col("b")).otherwise(F.col("c")))
+    reach = F.expr("CASE rule " + " ".join(f"WHEN '{k}' THEN {r.reach}" for k, r in RULES.items()) + " END")
+    ceiling = F.col("q.top") + reach * F.greatest(F.col("q.top") - F.col("q.mid"), F.col("up").cast("long"))
+    floor = F.col("q.low") - reach * F.greatest(F.col("q.mid") - F.col("q.low"), F.col("down").cast("long"))
+    return best.select("q_lang", "q_source", "rule", F.when(F.col("rule").isin([k for k, r in RULES.items() if r.low]), floor).alias("floor"), ceiling.alias("ceiling"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = (), min_words: int = 50, min_docs: int = MIN_DOCS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = (), min_words: int = 50, rate_words: int = 50, min_docs: int = MIN_DOCS) -> DataFrame:
     """Measures and verdicts of every row.
 
     base_failed: fewer than min_words words, or over half of the words in repeated 3-word
-    windows. The other rows make quantile sketches of four rates per language and source (null is
-    a group of its own); sketches are merged by language, and over all, for groups of fewer than
-    min_docs rows. The 25 and 50 % points of its group give each rate its fences (see Rule), joined
-    to the rows; a row outside any fence is not kept. Fences follow what is usual in a group, so a
+    windows. The other rows of rate_words words or more make quantile sketches of four rates per language
+    and source (null is a group of its own); sketches are merged by language, and over all, for groups of
+    fewer than min_docs rows. Their quantiles give each rate of a group its fences (see Rule), joined
+    to the rows; a row outside any fence is not kept. Rows with fewer than rate_words words (if
+    min_words lets them through) are held against no fence. Fences follow what is usual in a group, so a
     group whose documents are alike loses none of them.
 
     Result: id_col, keep columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept. Null and blank texts have no words and fail. Repeated rows are judged
     alike; other columns are ignored; no rows give no rows.
     """
-    from nichespark.runtime import settle
-
-    m = measures(F.col("q_text"))
     rows = docs.select(F.col(text_col).alias("q_text"), F.col(id_col).alias("q_id"), F.col(lang_col).cast("string").alias("q_lang"), F.col(source_col).cast("string").alias("q_source"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    rows = rows.withColumns(m).drop("q_text").select("*", "of_words.*").drop("of_words")
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    rows = rows.withColumns(measures(F.col("q_text"))).drop("q_text").select("*", "of_words.*").drop("of_words")
+    failed = (F.col("n_words") < max(1, min_words)) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rows = settle(rows.withColumn("base_failed", failed))
-    rates = rows.withColumns({k: F.when(F.col("n_words") > 0, F.expr(r.rate)).cast("long") for k, r in RULES.items()})
-    fine = sketches(rates.where("not base_failed"), list(RULES), ["q_lang", "q_source"])
-    fine = settle(fine)
-    by_lang = fine.groupBy("q_lang", "rule", "bin").agg(F.sum("n").alias("n"))
-    by_all = fine.groupBy("rule", "bin").agg(F.sum("n").alias("n"))
-    a = quantiles(fine, ["q_lang", "q_source"])
-    b = quantiles(by_lang, ["q_lang"]).select(F.col("q_lang").alias("b_lang"), F.col("rule").alias("b_rule"), F.struct("docs", "low", "mid").alias("b"))
-    c = quantiles(by_all, []).select(F.col("rule").alias("c_rule"), F.struct("docs", "low", "mid").alias("c"))
-    own = F.struct("docs", "low", "mid")
-    best = a.join(b, F.col("q_lang").eqNullSafe(F.col("b_lang")) & (F.col("rule") == F.col("b_rule"))).join(c, F.col("rule") == F.col("c_rule"))
-    best = best.select("q_lang", "q_source", "rule", F.when(F.col("docs") >= min_docs, own).when(F.col("b.docs") >= min_docs, F.col("b")).otherwise(F.col("c")).alias("q"))
-    fences = best.groupBy(F.col("q_lang").alias("f_lang"), F.col("q_source").alias("f_source")).agg(*[F.first(F.when(F.col("rule") == k, F.col("q")), ignorenulls=True).alias(f"f_{k}") for k in RULES])
+    rated = ~F.col("base_failed") & (F.col("n_words") >= max(1, rate_words))
+    sketch = sketches(rows.where(rated).withColumns({k: F.expr(r.smooth).cast("long") for k, r in RULES.items()}), list(RULES), ["q_lang", "q_source"])
+    wide = fences(sketch, min_docs).groupBy(F.col("q_lang").alias("f_lang"), F.col("q_source").alias("f_source"))
+    wide = wide.agg(*[F.first(F.when(F.col("rule") == k, F.struct("floor", "ceiling")), ignorenulls=True).alias(f"f_{k}") for k in RULES])
     inside = F.lit(True)
     for k, r in RULES.items():
-        q = F.col(f"f_{k}")
-        width = r.reach * F.greatest(q["mid"] - q["low"], F.lit(r.spread))
-        if r.high:
-            inside = inside & (F.col(k) <= q["mid"] + width)
+        rate, fence = F.expr(r.rate), F.col(f"f_{k}")
+        inside = inside & (rate <= fence["ceiling"])
         if r.low:
-            inside = inside & (F.col(k) >= q["mid"] - width)
-    judged = rates.join(fences, F.col("q_lang").eqNullSafe(F.col("f_lang")) & F.col("q_source").eqNullSafe(F.col("f_source")), "left")
-    return judged.select(F.col("q_id").alias(id_col), *[F.col(f"keep_{i}").alias(k) for i, k in enumerate(keep)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
+            inside = inside & (rate >= fence["floor"])
+    judged = rows.join(wide, F.col("q_lang").eqNullSafe(F.col("f_lang")) & F.col("q_source").eqNullSafe(F.col("f_source")), "left")
+    kept = ~F.col("base_failed") & F.when(rated, F.coalesce(inside, F.lit(False))).otherwise(F.lit(True))
+    return judged.select(F.col("q_id").alias(id_col), *[F.col(f"keep_{i}").alias(k) for i, k in enumerate(keep)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

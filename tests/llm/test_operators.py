@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from nichespark.llm import bpe, langid, mixing, prefix, quality, sharding, simhash, tokencount, tokenfile, topk, warc
 
+from .conftest import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -166,17 +168,47 @@ def test_quality(odd, none, odd_rows):
     assert quality.judge(none).count() == 0
 
 
-def test_quality_drops_junk_and_keeps_clean(spark):
-    from tests.llm.conftest import prose
+QUALITY_SCHEMA = "doc_id long, text string, lang string, source string"
 
-    rows = [(i, prose(i, 100), "en", "s") for i in range(300)] + [(1000 + i, " ".join(w + "###" for w in prose(i, 100).split()), "en", "s") for i in range(100)]
-    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+def test_quality_drops_junk_and_keeps_clean(spark):
+    rows = [(i, prose(i, 60 + i), "en", "s") for i in range(300)] + [(1000 + i, " ".join(w + "###" for w in prose(i, 100).split()), "en", "s") for i in range(60)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, QUALITY_SCHEMA)).collect()}
     assert all(got[i] == (i < 1000) for i in got)
 
 
+def test_quality_fences_follow_their_group(spark):
+    """What is usual in one source is not in another; every group's spread is above zero, and no constant bounds it."""
+    rng = random.Random(3)
+
+    def dense(i, share):
+        return " ".join(w + ("$" if rng.random() < share else "") for w in prose(i, 60 + i).split())
+
+    rows = [(i, prose(i, 60 + i), "en", "prose") for i in range(300)]
+    rows += [(1000 + i, dense(i, 0.3), "en", "tables") for i in range(300)]
+    rows += [(2000 + i, dense(i, 0.4), "en", "prose") for i in range(20)]
+    rows += [(3000 + i, dense(i, 1.0) + " $" * 900, "en", "tables") for i in range(20)]
+    df = spark.createDataFrame(rows, QUALITY_SCHEMA)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert all(got[i] for i in got if i < 2000)
+    assert not any(got[i] for i in got if 2000 <= i < 3000)
+    assert not any(got[i] for i in got if 3000 <= i)
+    measured = df.select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *[c.alias(k) for k, c in quality.measures(F.col("text")).items()]).select("*", "of_words.*")
+    rule = quality.RULES["symbol_rate"]
+    sketch = quality.sketches(measured.withColumn("symbol_rate", F.expr(rule.smooth).cast("long")), ["symbol_rate"], ["q_lang", "q_source"])
+    q = {r["q_source"]: r["q"] for r in quality.quantiles(sketch, ["q_lang", "q_source"]).collect()}
+    assert all(x["top"] > x["mid"] > 0 for x in q.values()) and q["tables"]["mid"] > 5 * q["prose"]["mid"]
+
+
+def test_quality_keeps_short_texts_if_asked(spark):
+    rows = [(i, prose(i, 60 + i), "en", "s") for i in range(150)] + [(1000, "Short and clean.", "en", "s"), (1001, "so so so so so so", "en", "s"), (1002, None, "en", "s")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, QUALITY_SCHEMA), min_words=1).collect()}
+    assert got[1000] and not got[1001] and not got[1002]
+
+
 def test_very_long_windows(spark):
     rng = random.Random(8)
-    w = [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcdefghij") for _ in range(quality.PACKED_WORDS + 500)]
+    w = [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcdefghij") for _ in range(33_000)]
     c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     want = len({i + k for i in range(len(w) - 2) for k in range(3) if c[tuple(w[i : i + 3])] > 1})
     df = spark.createDataFrame([(" ".join(w),)], "t string")
