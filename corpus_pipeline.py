@@ -14,25 +14,19 @@ from nichespark.llm.langid import fit, predict
 from nichespark.llm.mixing import mix
 from nichespark.llm.nearcopies import drop_near_copies
 from nichespark.llm.quality import judge
-from nichespark.runtime import new_path
-
-
-def _row_name(docs: DataFrame) -> str:
-    name = "stage_row"
-    while name in docs.columns:
-        name += "_"
-    return name
+from nichespark.runtime import fresh_name, new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep.
 
     A verdict depends on text, language and source only, so rows and verdicts meet by doc_id and a
-    hash of these; no copy of the texts is stored.
+    hash of these; no copy of the texts is stored. A text of under 50 words, which op4's contract
+    fails, stays if it has a word and doesn't repeat itself: rates say little about it, and clean texts are among them.
     """
-    key = _row_name(docs)
+    key = fresh_name(docs.columns, "stage_row")
     hashed = docs.withColumn(key, F.xxhash64("text", "lang", "source"))
-    kept = judge(hashed, keep=(key,)).where("kept").select(F.col("doc_id").alias("kept_id"), F.col(key).alias("kept_key")).distinct()
+    kept = judge(hashed, keep=(key,), min_words=1).where("kept").select(F.col("doc_id").alias("kept_id"), F.col(key).alias("kept_key")).distinct()
     return hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["kept_id"]) & (hashed[key] == kept["kept_key"]), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -48,7 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = fit(docs)
     even = CLEAR / len(model.languages) if len(model.languages) > 1 else 0.0
-    name = _row_name(docs)
+    name = fresh_name(docs.columns, "stage_row")
     found = predict(docs, model, names=(name, f"{name}_score")).where((F.col(name) != "und") & (F.col(f"{name}_score") >= even))
     return found.withColumn("lang", F.col(name)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -56,7 +50,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id.
 
-    Shingles of five words and a Jaccard similarity of 0.8 or more; the settings of op2 are those of its contract.
+    Shingles of five words and a Jaccard similarity of 0.8 or more, found by ball hashing of several
+    SimHashes; the settings of op2 (four words, 4 bits of one SimHash) are those of its contract.
     """
     return drop_near_copies(docs, width=5, percent=80)
 
