@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable
 
@@ -13,6 +14,20 @@ from nichespark.operators.gmm import Cluster
 from nichespark.runtime import settle
 
 
+def _name(thing: type | Callable) -> str:
+    if "<" in thing.__qualname__:
+        raise ValueError(f"{thing.__qualname__} can't be saved, as it can't be imported")
+    return f"{thing.__module__}:{thing.__qualname__}"
+
+
+def _named(name: str) -> type | Callable:
+    module, _, path = name.partition(":")
+    out = importlib.import_module(module)
+    for part in path.split("."):
+        out = getattr(out, part)
+    return out
+
+
 class ClusterAutoK:
     """Fit every number of clusters several times, keep the best model of each, and score stability.
 
@@ -87,7 +102,8 @@ class ClusterAutoK:
         """A folder of JSON parameters, Parquet labels and stability, and a folder per model."""
         spark = self.labels.sparkSession
         ks = [self.best_k] if best_k else sorted(self.best_models)
-        spark.createDataFrame([(json.dumps({**self.get_params(), "kept": ks}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
+        made = {**self.get_params(), "kept": ks, "model_class": _name(self.model_class), "similarity_function": _name(self.similarity_function)}
+        spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
         for name in self.persistent_attributes:
             if getattr(self, name) is not None:
                 getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -96,9 +112,10 @@ class ClusterAutoK:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, model_class: type | None = None) -> ClusterAutoK:
+        """What save() wrote. The model class (unless given) and the similarity are imported by their names; only load what you trust."""
         params = json.loads(spark.read.text(f"{path}/params").first()[0])
-        kept = params.pop("kept")
-        out = cls(**params, model_class=model_class)
+        kept, saved = params.pop("kept"), params.pop("model_class")
+        out = cls(**{**params, "similarity_function": _named(params["similarity_function"])}, model_class=model_class or _named(saved))
         out.labels, out.stability = spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/stability")
         out.best_models = {k: out.model_class.load(spark, f"{path}/best_models/{out.model_class.__name__}_k{k}") for k in kept}
         return out

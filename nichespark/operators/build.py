@@ -46,12 +46,20 @@ def radius_edges(cells: DataFrame, radius: float, sample: str | None = None) ->
     return pairs.where(F.col("dist") <= radius).select("src", "dst", F.lit(1.0).alias("weight"), "dist")
 
 
+def _crowd(places: DataFrame, h: float) -> float:
+    """How many cells the square of a cell has on average."""
+    counts = places.groupBy("s", F.floor(F.col("x") / h), F.floor(F.col("y") / h)).agg(F.count("*").cast("double").alias("n"))
+    return counts.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+
+
 def knn_edges(cells: DataFrame, k: int = 6, sample: str | None = None, symmetric: bool = True, start: float | None = None) -> DataFrame:
     """The k nearest of every cell (ties to the smaller id), both directions if symmetric.
 
     Cells look for neighbours in the 3 by 3 grid squares around them. Who has k within one
     square's width is done; the others go on with squares of double width, until the grid
-    covers everything. So no cross join is made, and the result is exact.
+    covers everything. So no cross join is made, and the result is exact. The first width comes from the
+    counts: it is made smaller until the square of a cell has few others on average, so that cells far
+    off make no crowded squares elsewhere.
     """
     places = settle(_places(cells, sample))
     box = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
@@ -59,6 +67,8 @@ def knn_edges(cells: DataFrame, k: int = 6, sample: str | None = None, symmetric
         return places.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("dist"))
     extent = max(box[1] - box[0], box[3] - box[2], 1e-12)
     h = start or extent * math.sqrt(2 * k / box[4])
+    while not start and h > extent * 2.0**-40 and _crowd(places, h) > 16 * k:
+        h /= 4
     left, found = places, None
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     while True:

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from nichespark.functions.checks import need
 from nichespark.runtime import settle
 
-#: Numbers up to which the rows are fitted on the driver: below, a Spark job for each step is all overhead.
-LOCAL_NUMBERS = 2_000_000
 #: Rows that starting means are found on.
 INIT_ROWS = 20_000
 MAX_EPOCHS = 100
@@ -31,16 +29,18 @@ class Mixture:
     means: np.ndarray
     covariances: np.ndarray
     factors: np.ndarray = field(init=False)
+    inverses: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.factors = np.linalg.cholesky(self.covariances)
+        self.inverses = np.linalg.inv(self.factors)
 
     def log_prob(self, x: np.ndarray) -> np.ndarray:
         """Log of weight times density, a column for each component."""
         out = np.empty((len(x), len(self.weights)))
-        for i, (w, m, f) in enumerate(zip(self.weights, self.means, self.factors, strict=True)):
-            z = np.linalg.solve(f, (x - m).T)
-            out[:, i] = np.log(max(w, 1e-300)) - 0.5 * (z**2).sum(0) - np.log(np.diag(f)).sum() - 0.5 * len(m) * np.log(2 * np.pi)
+        for i, (w, m, f, back) in enumerate(zip(self.weights, self.means, self.factors, self.inverses, strict=True)):
+            z = (x - m) @ back.T
+            out[:, i] = np.log(max(w, 1e-300)) - 0.5 * (z**2).sum(1) - np.log(np.diag(f)).sum() - 0.5 * len(m) * np.log(2 * np.pi)
         return out
 
     def to_json(self) -> str:
@@ -84,8 +84,10 @@ class GaussianMixture:
     """A mixture with full, diagonal or spherical covariances.
 
     fit() starts from k-means (or random rows, or given means) on a bounded sample, and runs EM until the mean
-    negative log-likelihood changes by less than convergence_tolerance. If a covariance has no
-    Cholesky factor the ridge grows tenfold; from 1 on that is a ValueError. Fitted: model_,
+    negative log-likelihood changes by less than convergence_tolerance. All rows stay on the executors, at every
+    size; the driver handles matrices of the size of the model. If a covariance has no
+    Cholesky factor the ridge grows tenfold; beyond 1 that is a ValueError. batch_size is the number of rows of an
+    Arrow batch that are held against the model at once; trainer_params takes max_epochs. Fitted: model_,
     converged_, num_iter_, nll_.
     """
 
@@ -112,20 +114,46 @@ class GaussianMixture:
         n = rows.count()
         if n < self.n_clusters:
             raise ValueError(f"{n} rows for {self.n_clusters} clusters")
-        part = min(1.0, 1.5 * INIT_ROWS / n)
-        sample = rows if part == 1.0 else rows.where(F.pmod(F.xxhash64("x", F.lit(self.random_state)), F.lit(1 << 20)) < int(part * (1 << 20)))
-        x = np.array([r["x"] for r in sample.orderBy(F.xxhash64("x", F.lit(self.random_state)), "x").limit(INIT_ROWS).collect()])
-        whole = np.array([r["x"] for r in rows.collect()]) if n * x.shape[1] <= LOCAL_NUMBERS else rows
+        start = self._start(rows, n)
         ridge = self.covariance_regularization
         while True:
             try:
-                self._em(whole, n, x, ridge)
+                self._em(rows, n, start, ridge)
+                self.covariance_regularization = ridge
                 return self
             except np.linalg.LinAlgError:
                 ridge *= 10
-                if ridge >= 1:
+                if ridge > 1.5:
                     raise ValueError("no covariance could be factored; scale the data") from None
 
+    def _start(self, rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, means and plain covariances of the first clusters, made by one task from INIT_ROWS rows at most."""
+        k, seed, strategy, given = self.n_clusters, self.random_state, self.init_strategy, self.init_means
+        # rows are settled, so that their numbers stay; equal rows are drawn each for itself
+        drawn = rows.withColumn("draw", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+        part = 1.5 * INIT_ROWS / n
+        sample = (drawn if part >= 1 else drawn.where(F.pmod("draw", F.lit(1 << 20)) < int(part * (1 << 20)) + 1)).orderBy("draw", "x").limit(INIT_ROWS).select("x")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [_matrix(b.column(0)) for b in batches if b.num_rows]
+            if not found:
+                return
+            x = np.concatenate(found)
+            d = x.shape[1]
+            if given is not None:
+                means = np.asarray(given, float)
+            elif strategy == "kmeans":
+                means = kmeans(x, k, seed)
+            else:
+                means = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
+            near = ((x**2).sum(1)[:, None] - 2 * x @ means.T + (means**2).sum(1)[None, :]).argmin(1)
+            cov = np.array([np.cov(x[near == i].T, bias=True).reshape(d, d) if (near == i).sum() > d else np.cov(x.T, bias=True).reshape(d, d) for i in range(k)])
+            made = json.dumps({"sizes": np.bincount(near, minlength=k).tolist(), "means": means.tolist(), "cov": cov.tolist()})
+            yield pa.RecordBatch.from_arrays([pa.array([made])], names=["made"])
+
+        made = json.loads(sample.mapInArrow(run, "made string").first()[0])
+        return np.array(made["sizes"]).clip(1), np.array(made["means"]), np.array(made["cov"])
+
     def _shape(self, cov: np.ndarray, ridge: float) -> np.ndarray:
         d = cov.shape[1]
         if self.covariance_type == "diag":
@@ -134,19 +162,12 @@ class GaussianMixture:
             cov = np.array([np.eye(d) * np.trace(c) / d for c in cov])
         return cov + ridge * np.eye(d)
 
-    def _em(self, rows: DataFrame | np.ndarray, n: int, x: np.ndarray, ridge: float) -> None:
-        k, d = self.n_clusters, x.shape[1]
-        if self.init_means is not None:
-            means = np.asarray(self.init_means, float)
-        elif self.init_strategy == "kmeans":
-            means = kmeans(x, k, self.random_state)
-        else:
-            means = x[np.random.default_rng(self.random_state).choice(len(x), k, replace=False)]
-        near = ((x[:, None, :] - means[None]) ** 2).sum(2).argmin(1)
-        cov = np.array([np.cov(x[near == i].T, bias=True).reshape(d, d) if (near == i).sum() > d else np.cov(x.T, bias=True).reshape(d, d) for i in range(k)])
-        model = Mixture(np.bincount(near, minlength=k).clip(1) / np.bincount(near, minlength=k).clip(1).sum(), means, self._shape(cov, ridge))
+    def _em(self, rows: DataFrame, n: int, start: tuple[np.ndarray, np.ndarray, np.ndarray], ridge: float) -> None:
+        sizes, means, cov = start
+        k, d = means.shape
+        model = Mixture(sizes / sizes.sum(), means, self._shape(cov, ridge))
         before, self.converged_ = np.inf, False
-        for step in range(1, MAX_EPOCHS + 1):
+        for step in range(1, int(self.trainer_params.get("max_epochs") or MAX_EPOCHS) + 1):
             s0, s1, s2, ll = self._statistics(rows, model, k, d)
             self.nll_, self.num_iter_ = -ll / n, step
             weight = s0.clip(1e-12)
@@ -168,23 +189,21 @@ class GaussianMixture:
         second = np.array([((x * r[:, i : i + 1]).T @ x).ravel() for i in range(p.shape[1])])
         return np.append(np.hstack([r.sum(0)[:, None], r.T @ x, second]).ravel(), norm.sum())
 
-    def _statistics(self, rows: DataFrame | np.ndarray, model: Mixture, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def _statistics(self, rows: DataFrame, model: Mixture, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """The sums over all rows: s0, s1, s2 by component and the log-likelihood; Spark adds them up entry by entry."""
-        width = 1 + d + d * d
-        if isinstance(rows, np.ndarray):
-            flat = self._sums(rows, model)
-        else:
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = np.zeros(k * width + 1)
-                for b in batches:
-                    if b.num_rows:
-                        total += GaussianMixture._sums(_matrix(b.column(0)), model)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["i", "v"])
-
-            summed = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-            flat = np.zeros(k * width + 1)
-            flat[summed["i"]] = summed["v"]
+        width, size = 1 + d + d * d, self.batch_size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * width + 1)
+            for b in batches:
+                for i in range(0, b.num_rows, size or max(1, b.num_rows)):
+                    total += GaussianMixture._sums(_matrix(b.column(0).slice(i, size)), model)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(total)], names=["i", "v"])
+
+        summed = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(k * width + 1)
+        for r in summed:
+            flat[r["i"]] = r["v"]
         t = flat[:-1].reshape(k, width)
         return t[:, 0], t[:, 1 : 1 + d], t[:, 1 + d :].reshape(k, d, d), float(flat[-1])
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichespark.functions.aggregates import log_ratio
 from nichespark.functions.checks import need
+from nichespark.operators.deal import deal, dealt_sums
 
 
 def proportion(cells: DataFrame, id_key: str, val_key: str, normalize: bool = True) -> DataFrame:
@@ -24,53 +21,12 @@ def proportion(cells: DataFrame, id_key: str, val_key: str, normalize: bool = Tr
     return pairs.select("id", "val", (share if normalize else F.col("n").cast("double")).alias("value"))
 
 
-def shuffled(cells: DataFrame, key: str, n_perms: int, seed: int) -> DataFrame:
-    """perm, cell_id, key: the values of key dealt to the cells anew for each permutation, by order of a hash.
-
-    Every cell and permutation is a row here; for many permutations see the other methods.
-    """
-    perms = cells.select("cell_id", F.col(key).cast("string").alias("v")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
-    spot = F.md5(F.concat(F.lit(f"{seed}|"), F.col("perm").cast("string"), F.lit("|"), F.col("cell_id").cast("string")))
-    a = perms.withColumn("r", F.row_number().over(Window.partitionBy("perm").orderBy(spot, "cell_id"))).select("perm", "r", "v")
-    b = perms.withColumn("r", F.row_number().over(Window.partitionBy("perm").orderBy("cell_id"))).select("perm", "r", "cell_id")
-    return a.join(b, ["perm", "r"]).select("perm", "cell_id", F.col("v").alias(key))
-
-
-def _tables(counts: pd.DataFrame, n_null: dict[str, int], n_perms: int, seed: int, spark) -> DataFrame:
-    """perm, group, label, observed: tables with the margins of a shuffled group column, drawn directly.
-
-    A random permutation of the groups deals each label's rows a multivariate hypergeometric
-    draw of the groups, so no row needs to be shuffled.
-    """
-    groups = sorted(counts["g"].dropna().unique())
-    labels = sorted(counts["l"].dropna().unique())
-    by_group = counts.groupby("g", dropna=False)["n"].sum()
-    urn = [int(by_group.get(g, 0)) for g in groups] + [int(counts.loc[counts["g"].isna(), "n"].sum())]
-    per_label = [int(counts.loc[counts["l"] == x, "n"].sum()) for x in labels]
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            out = []
-            for perm in pdf["id"]:
-                rng, left = np.random.default_rng([seed, int(perm)]), np.array(urn, np.int64)
-                for label, size in zip(labels, per_label, strict=True):
-                    dealt = rng.multivariate_hypergeometric(left, size, method="marginals")
-                    left = left - dealt
-                    known = dealt[:-1].sum()
-                    out += [(perm, g, label, d / known if known else np.nan) for g, d in zip(groups, dealt[:-1], strict=True)]
-            yield pd.DataFrame(out, columns=["perm", "g", "l", "o"])
-
-    return spark.range(n_perms).mapInPandas(run, "perm long, g string, l string, o double")
-
-
-def enrichment(cells: DataFrame, group_key: str, label_key: str, pvalues: bool = False, n_perms: int = 1000, log: bool = True, seed: int = 0, method: str = "table") -> DataFrame:
+def enrichment(cells: DataFrame, group_key: str, label_key: str, pvalues: bool = False, n_perms: int = 1000, log: bool = True, seed: int = 0) -> DataFrame:
     """group, label, observed, expected, enrichment (and pvalue) for every pair of values that occur.
 
     observed: share of the group among the label's cells. expected: share of the group among all
     cells, those without a group included; with pvalues the mean over permutations. pvalue: 1 -
-    share of permutations below what is observed, 0 where nothing is observed. method: "table"
-    draws permuted tables from the margins (cost independent of the number of cells), "hash"
-    shuffles the rows by a seeded hash.
+    share of permutations below what is observed, 0 where nothing is observed. Permutations deal the groups anew (see deal).
     """
     need(cells, group_key, label_key)
     base = cells.select(F.col(group_key).cast("string").alias("g"), F.col(label_key).cast("string").alias("l"))
@@ -81,13 +37,9 @@ def enrichment(cells: DataFrame, group_key: str, label_key: str, pvalues: bool =
     pairs = per_group.crossJoin(F.broadcast(total)).crossJoin(seen.select("l").distinct()).join(seen, ["g", "l"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rows = pairs.select("g", "l", F.try_divide(F.col("n").cast("double"), F.sum("n").over(Window.partitionBy("l"))).alias("o"), (F.col("ng").cast("double") / F.col("nn")).alias("e"))
     if pvalues:
-        if method == "table":
-            perms = _tables(counted.toPandas(), {}, n_perms, seed, cells.sparkSession)
-        else:
-            dealt = shuffled(cells, group_key, n_perms, seed).select("perm", "cell_id", F.col(group_key).alias("g"))
-            joined = dealt.join(cells.select("cell_id", F.col(label_key).cast("string").alias("l")), "cell_id").where("g is not null and l is not null")
-            c = joined.groupBy("perm", "g", "l").agg(F.count("*").alias("n"))
-            perms = c.select("perm", "g", "l", (F.col("n").cast("double") / F.sum("n").over(Window.partitionBy("perm", "l"))).alias("o"))
+        labelled = cells.select("cell_id", F.col(label_key).cast("string").alias("l")).where("l is not null")
+        c = dealt_sums(labelled, deal(cells, group_key, n_perms, seed), ["cell_id"], fixed="l").where("l0 is not null")
+        perms = c.select("perm", F.col("l0").alias("g"), "l", (F.col("w") / F.sum("w").over(Window.partitionBy("perm", "l"))).alias("o"))
         joined = rows.join(perms.select("g", "l", "perm", F.col("o").alias("po")), ["g", "l"], "left")
         per = joined.groupBy("g", "l", "o").agg(F.sum(F.coalesce("po", F.lit(0.0))).alias("s"), F.sum(F.when(F.col("po") < F.col("o"), 1).otherwise(0)).alias("below"), F.count("po").alias("k"))
         # a pair that a permutation hasn't made has the share 0 there

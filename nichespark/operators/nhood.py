@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichespark.functions.aggregates import log_ratio
 from nichespark.functions.checks import need
-from nichespark.operators.group import shuffled
+from nichespark.operators.deal import deal, dealt_sums
 from nichespark.operators.prune import with_labels
 from nichespark.runtime import settle
 
-#: The permutation kernel broadcasts the labelled edges up to this number; more are counted by joins.
-KERNEL_EDGES = 20_000_000
-
 
 def link_table(edges: DataFrame, labels: DataFrame, cluster: str, by: list[str] | None = None, only_inter: bool = False) -> DataFrame:
     """by, ls, ld, w: summed weights between labels; with only_inter without links inside a label. labels: cell_id, cluster."""
@@ -60,46 +54,16 @@ def _domain(cells: DataFrame, key: str) -> DataFrame:
     return cells.select(F.col(key).cast("string").alias("s")).where("s is not null").distinct()
 
 
-def permuted_links(cells: DataFrame, edges: DataFrame, cluster_key: str, n_perms: int, seed: int, method: str = "kernel", only_inter: bool = True) -> DataFrame:
-    """perm, ls, ld, w: summed weights between labels after dealing the labels anew.
+def permuted_links(cells: DataFrame, edges: DataFrame, cluster_key: str, n_perms: int, seed: int, only_inter: bool = True) -> DataFrame:
+    """perm, ls, ld, w: summed weights between labels after dealing the labels anew (see deal).
 
     As in the observed table, links inside a label go by the labels as they are, ahead of the
-    permutations. "kernel": the edges are broadcast once as arrays (only up to KERNEL_EDGES) and a
-    bincount is made for each permutation; "hash": rows are shuffled by a seeded hash and joined.
+    permutations. Edges join cells of the table.
     """
     used = edges.select("src", "dst", "weight")
     if only_inter:
         used = with_labels(used, cells, cluster_key).where(~F.coalesce(F.col("ls") == F.col("ld"), F.lit(False))).select("src", "dst", "weight")
-    if method == "kernel":
-        used = settle(used)
-        if used.count() > KERNEL_EDGES or cells.count() > KERNEL_EDGES:
-            method = "hash"
-    if method == "hash":
-        dealt = shuffled(cells, cluster_key, n_perms, seed).select("perm", "cell_id", F.col(cluster_key).alias("l"))
-        a = dealt.select("perm", F.col("cell_id").alias("src"), F.col("l").alias("ls"))
-        b = dealt.select("perm", F.col("cell_id").alias("dst"), F.col("l").alias("ld"))
-        return used.join(a, "src").join(b, ["perm", "dst"]).groupBy("perm", "ls", "ld").agg(F.sum("weight").alias("w"))
-    spark = cells.sparkSession
-    c = cells.select("cell_id", F.col(cluster_key).cast("string").alias("l")).orderBy("cell_id").toPandas()
-    e = used.toPandas()
-    names = sorted(c["l"].dropna().unique())
-    code = pd.Series(range(len(names)), index=names).reindex(c["l"]).fillna(len(names)).to_numpy(np.int64)
-    ids = c["cell_id"].to_numpy()
-    shared = spark.sparkContext.broadcast((code, np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy()), e["weight"].to_numpy(float), names))
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, src, dst, weight, names = shared.value
-        k = len(names) + 1
-        label = [*names, None]
-        for pdf in pdfs:
-            out = []
-            for perm in pdf["id"]:
-                p = np.random.default_rng([seed, int(perm)]).permutation(code)
-                w = np.bincount(p[src] * k + p[dst], weights=weight, minlength=k * k).reshape(k, k)
-                out += [(perm, label[i], label[j], w[i, j]) for i, j in zip(*np.nonzero(w), strict=True)]
-            yield pd.DataFrame(out, columns=["perm", "ls", "ld", "w"])
-
-    return spark.range(n_perms).mapInPandas(run, "perm long, ls string, ld string, w double")
+    return dealt_sums(used, deal(cells, cluster_key, n_perms, seed), ["src", "dst"], weight="weight").select("perm", F.col("l0").alias("ls"), F.col("l1").alias("ld"), "w")
 
 
 def _pvalues(rows: DataFrame, perms: DataFrame, by: list[str], n_perms: int) -> DataFrame:
@@ -121,7 +85,6 @@ def nhood_enrichment(
     pvalues: bool = False,
     n_perms: int = 1000,
     seed: int = 0,
-    method: str = "kernel",
 ) -> DataFrame:
     """source, target, observed, expected, enrichment (and pvalue) of every pair of clusters.
 
@@ -134,12 +97,12 @@ def nhood_enrichment(
     need(cells, "cell_id", cluster_key)
     need(edges, "src", "dst", "weight")
     labels = cells.select("cell_id", F.col(cluster_key).cast("string").alias("cluster"))
-    links = link_table(edges, labels, "cluster", only_inter=only_inter)
+    links = settle(link_table(edges, labels, "cluster", only_inter=only_inter))
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
     rows = _enrich(links, sizes, _domain(labels, "cluster"), [], log_fold_change, only_inter, symmetric)
     extra = []
     if pvalues:
-        perm = permuted_links(labels, edges, "cluster", n_perms, seed, method, only_inter)
+        perm = permuted_links(labels, edges, "cluster", n_perms, seed, only_inter)
         total = F.sum("w").over(Window.partitionBy("perm", "ls"))
         po = F.col("w") if symmetric else F.try_divide(F.col("w"), total)
         each = perm.withColumn("po", po).where("ls is not null and ld is not null").select("perm", F.col("ls").alias("s"), F.col("ld").alias("t"), "po")
@@ -214,7 +177,7 @@ def diff_nhood_enrichment(
     b = labels.select(F.col("cell_id").alias("dst"), F.col("cond").alias("cb"), *([F.col("lib").alias("lb")] if pvalues else []))
     ends = edges.select("src", "dst", "weight").join(a, "src").join(b, "dst")
     inside = ends.where("ca = cb").withColumnRenamed("ca", "cond")
-    rows = _enrich(link_table(inside, labels, "cluster", ["cond"], only_inter), labels.where("cond is not null").groupBy("cond", "cluster").agg(F.count("*").alias("n")), domain, ["cond"], log_fold_change, only_inter, symmetric)
+    rows = _enrich(settle(link_table(inside, labels, "cluster", ["cond"], only_inter)), labels.where("cond is not null").groupBy("cond", "cluster").agg(F.count("*").alias("n")), domain, ["cond"], log_fold_change, only_inter, symmetric)
     out = _difference(rows, pairs, "cond", "enrichment", [])
     extra = []
     if pvalues:

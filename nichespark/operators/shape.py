@@ -75,7 +75,7 @@ def area_perimeter(polygons: DataFrame) -> DataFrame:
     return per.groupBy("component").agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"), F.sum("l").alias("perimeter"))
 
 
-def cells_inside(cells: DataFrame, polygons: DataFrame, library: DataFrame | None = None, exterior: bool = False, squares: int = 32) -> DataFrame:
+def cells_inside(cells: DataFrame, polygons: DataFrame, library: DataFrame | None = None, exterior: bool = False, strips: int | None = None) -> DataFrame:
     """component, cell_id of cells inside polygons (crossing parity).
 
     The sides of polygons and the cells meet by strips of y: an equi-join on the strip (and the library), then
@@ -84,10 +84,11 @@ def cells_inside(cells: DataFrame, polygons: DataFrame, library: DataFrame | Non
     sides = ring_table(polygons)
     if exterior:
         sides = sides.where("ring = 0")
-    box = polygons.select(F.explode("rings").alias("r")).select(F.explode("r").alias("p")).agg(F.min("p.y"), F.max("p.y")).first()
+    box = polygons.select(F.explode("rings").alias("r")).select(F.explode("r").alias("p")).agg(F.min("p.y"), F.max("p.y"), F.count("*")).first()
     if box[0] is None:
         return cells.sparkSession.createDataFrame([], "component string, cell_id long")
-    h = max((box[1] - box[0]) / squares, 1e-9)
+    # a polygon of n sides has about as many strips as sides: few sides to a strip, and few strips to a side
+    h = max((box[1] - box[0]) / (strips or min(1 << 16, max(32, box[2] // 4))), 1e-9)
     strip = lambda c: F.floor((c - F.lit(box[0])) / h)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     sides = sides.where("y1 <> y2").withColumn("strip", F.explode(F.sequence(strip(low), strip(high))))

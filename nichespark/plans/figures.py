@@ -39,8 +39,12 @@ def finite(rows: DataFrame, column: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends)).withColumn(column, fixed).drop("lo", "hi")
 
 
-def enrichment(result: DataFrame, dot_scale: float = 3, groups: list[str] | None = None, labels: list[str] | None = None, show_pvalues: bool = False, significance: float | None = None, enriched_only: bool = True, significant_only: bool = False, size_threshold: float | None = None, group_cluster: bool = True) -> DataFrame:
-    """group, label, value, size, color, group_order: the dots of an enrichment figure. result: of operators.group.enrichment."""
+def enrichment(result: DataFrame, dot_scale: float = 3, groups: list[str] | None = None, labels: list[str] | None = None, show_pvalues: bool = False, significance: float | None = None, enriched_only: bool = True, significant_only: bool = False, size_threshold: float | None = None, group_cluster: bool = True, label_cluster: bool = False) -> DataFrame:
+    """group, label, value, size, color, group_order, label_order: the dots of an enrichment figure. result: of operators.group.enrichment.
+
+    color: with significance 0 or 0.8, with show_pvalues the p-value, else 0. Orders are the leaf orders
+    of complete-linkage clusterings (null where not asked for).
+    """
     if (show_pvalues or significance is not None or significant_only) and "pvalue" not in result.columns:
         raise ValueError("the enrichment was computed without p-values")
     for name, wanted in (("group", groups), ("label", labels)):
@@ -50,10 +54,11 @@ def enrichment(result: DataFrame, dot_scale: float = 3, groups: list[str] | None
                 raise ValueError(f"unknown {name}s: {sorted(missing)}")
             result = result.where(F.col(name).isin(wanted))
     rows = finite(result, "enrichment").withColumnRenamed("enrichment", "value")
-    order = None
-    if group_cluster:
-        wide = rows.groupBy("group").pivot("label").agg(F.first("value")).orderBy("group").toPandas()
-        order = leaf_order(list(wide["group"]), wide.drop(columns="group").to_numpy(float)) if len(wide) > 1 else list(wide["group"])
+    orders = {}
+    for name, other, asked in (("group", "label", group_cluster), ("label", "group", label_cluster)):
+        if asked:
+            wide = rows.groupBy(name).pivot(other).agg(F.first("value")).orderBy(name).toPandas()
+            orders[name] = leaf_order(list(wide[name]), wide.drop(columns=name).to_numpy(float)) if len(wide) > 1 else list(wide[name])
     limit = F.least(F.abs("value"), F.lit(float(size_threshold))) if size_threshold is not None else F.abs("value")
     rows = rows.withColumn("size", limit).withColumn("size", F.coalesce(F.try_divide(F.col("size") * 100.0, F.max("size").over(Window.partitionBy())) * float(dot_scale), F.lit(0.0)))
     if significance is not None:
@@ -61,14 +66,14 @@ def enrichment(result: DataFrame, dot_scale: float = 3, groups: list[str] | None
     elif show_pvalues:
         color = F.col("pvalue") + 0.0001
     else:
-        color = F.col("value")
+        color = F.lit(0.0)
     rows = rows.withColumn("color", color)
     if enriched_only:
         rows = rows.where("value >= 0")
     if significant_only:
         rows = rows.where(F.col("pvalue") <= (0.05 if significance is None else significance))
-    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("group")) if order else F.lit(None).cast("long")
-    return rows.select("group", "label", "value", "size", "color", place.alias("group_order"))
+    place = {x: F.array_position(F.array(*[F.lit(v) for v in orders[x]]), F.col(x)) if orders.get(x) else F.lit(None).cast("long") for x in ("group", "label")}
+    return rows.select("group", "label", "value", "size", "color", place["group"].alias("group_order"), place["label"].alias("label_order"))
 
 
 def nhood_enrichment(result: DataFrame, cells: DataFrame | None = None, cluster_key: str | None = None, row_groups: list[str] | None = None, col_groups: list[str] | None = None, min_freq: float | None = None, transpose: bool = False, significance: float | None = None, n_digits: int = 2) -> DataFrame:
@@ -128,8 +133,20 @@ def plot_shape_metrics(cells: DataFrame, metrics: DataFrame, **options) -> DataF
 
 
 def plot_shapes(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, q1, median, q3, n: the boxes of a box plot of `value`."""
-    return rows.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("value").alias("n")).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "n")
+    """by, q1, median, q3, low, high, n: the boxes of a box plot of `value`, with whiskers at the last values within 1.5 boxes of them.
+
+    Values are counted first, so that a group's percentiles come from distinct values and their numbers.
+    """
+    counted = rows.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(F.count("*").alias("m"))
+    quart = counted.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("m")).alias("q"), F.sum("m").alias("n"))
+    boxes = quart.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "n").withColumn("reach", (F.col("q3") - F.col("q1")) * 1.5)
+    near = counted.join(boxes.select(*by, (F.col("q1") - F.col("reach")).alias("least"), (F.col("q3") + F.col("reach")).alias("most")), by).where("value between least and most")
+    return boxes.drop("reach").join(near.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high")), by).select(*by, "q1", "median", "q3", "low", "high", "n")
+
+
+def outliers(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose value lies beyond the whiskers of its box, which a box plot shows as points."""
+    return rows.join(plot_shapes(rows, by).select(*by, "low", "high"), by).where("value < low or value > high").drop("low", "high")
 
 
 def autok_stability(mirrored: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nichespark.operators import build, components, group, khop, nhood, prune, shape
 from nichespark.operators import stability as st
 from nichespark.operators.autok import ClusterAutoK
-from nichespark.operators.gmm import Cluster, GaussianMixture
+from nichespark.operators.gmm import Cluster, GaussianMixture, Mixture
 from nichespark.plans import figures
 from nichespark.sources import tables as t
 from nichespark.streaming.shares import windowed_counts
@@ -113,12 +114,13 @@ def _enrichment(log):
 
 
 def enrichment_perm_pvalue(spark, d):
-    out = group.enrichment(t.cells_cust(spark, d), "condition", "cluster", pvalues=True, n_perms=20, seed=1, log=False, method="hash")
+    out = group.enrichment(t.cells_cust(spark, d), "condition", "cluster", pvalues=True, n_perms=20, seed=1, log=False)
     return out.select("group", "label", *_r("observed", "expected", "pvalue"), _finite("enrichment"))
 
 
-def enrichment_table_pvalue(spark, d):
-    return group.enrichment(t.cells_cust(spark, d), "condition", "cluster", pvalues=True, n_perms=500, seed=1)
+def enrichment_pvalue(spark, d):
+    out = group.enrichment(t.cells_cust(spark, d), "condition", "cluster", pvalues=True, n_perms=1000, seed=1)
+    return out.select("group", "label", *_r("observed", "expected", "pvalue"), _finite("enrichment"))
 
 
 def _nhood(sym, inter, log):
@@ -137,13 +139,14 @@ def nhood_orders(spark, d):
 
 def nhood_perm_pvalue(spark, d):
     c, e = _cust(spark, d)
-    out = nhood.nhood_enrichment(c, e, "cluster", pvalues=True, n_perms=20, seed=1, method="hash")
+    out = nhood.nhood_enrichment(c, e, "cluster", pvalues=True, n_perms=20, seed=1)
     return out.select("source", "target", *_r("observed", "expected", "enrichment", "pvalue"))
 
 
-def nhood_kernel_pvalue(spark, d):
+def nhood_pvalue(spark, d):
     c, e = _cust(spark, d)
-    return nhood.nhood_enrichment(c, e, "cluster", pvalues=True, n_perms=200, seed=1)
+    out = nhood.nhood_enrichment(c, e, "cluster", pvalues=True, n_perms=1000, seed=1)
+    return out.select("source", "target", *_r("observed", "expected", "enrichment", "pvalue"))
 
 
 def diff_nhood_pairs(spark, d):
@@ -154,7 +157,7 @@ def diff_nhood_pairs(spark, d):
 
 def diff_nhood_perm_pvalue(spark, d):
     c, e = _cust(spark, d)
-    out = nhood.diff_nhood_enrichment(c, e, "cluster", "condition", pvalues=True, n_perms=20, seed=1)
+    out = nhood.diff_nhood_enrichment(c, e, "cluster", "condition", pvalues=True, n_perms=1000, seed=1)
     return out.select("condition1", "condition2", "source", "target", *_r("enrichment", "pvalue"))
 
 
@@ -200,7 +203,8 @@ def best_k(spark, d):
 
 
 def stability_peaks(spark, d):
-    return st.peaks(st.mean_stability(_mirrored(spark, d)).withColumn("stability", F.round("stability", 6)))
+    scores = st.fowlkes_mallows(st.contingency(t.runs(spark, d, ks=(2, 8), agreed=(4, 6))))
+    return st.peaks(st.mean_stability(st.mirror(scores)).withColumn("stability", F.round("stability", 6)))
 
 
 def stability_mape(spark, d):
@@ -250,6 +254,27 @@ def gmm_k1_moments(spark, d):
     return spark.createDataFrame(rows, "i int, j int, mean double, cov double").select("i", "j", *_r("mean", "cov"))
 
 
+#: Where the two components of gmm_em_steps start.
+EM_MEANS, EM_STEPS = ((-0.1, 0.0), (0.1, 0.05)), 3
+
+
+def gmm_em_steps(spark, d):
+    """Three steps of EM with full covariances from given means: exact figures that SQL can follow."""
+    fitted = GaussianMixture(2, init_means=EM_MEANS, convergence_tolerance=0.0, trainer_params={"max_epochs": EM_STEPS}).fit(t.cells_emb(spark, d, 2))
+    m = fitted.model_
+    rows = [(i, fitted.nll_, float(m.weights[i]), *map(float, m.means[i]), float(m.covariances[i][0][0]), float(m.covariances[i][0][1]), float(m.covariances[i][1][1])) for i in range(2)]
+    return spark.createDataFrame(rows, "k int, nll double, w double, mx double, my double, cxx double, cxy double, cyy double").select("k", *_r("nll", "w", "mx", "my", "cxx", "cxy", "cyy"))
+
+
+def gmm_scores(spark, d):
+    """Posteriors, scores and labels under a model of given parameters."""
+    model = GaussianMixture(2)
+    model.model_ = Mixture(np.array([0.4, 0.6]), np.array(EM_MEANS), np.array([[[0.02, 0.005], [0.005, 0.03]], [[0.03, 0.0], [0.0, 0.01]]]))
+    c = t.cells_emb(spark, d, 2)
+    out = model.score_samples(model.predict_proba(model.predict(c)))
+    return out.select("cell_id", "cluster", F.round(F.col("proba")[0], 6).alias("p0"), *_r("nll"))
+
+
 def gmm_fit_predict(spark, d):
     c = t.cells_emb(spark, d)
     return Cluster(4, random_state=0).fit(c, "features").predict(c, "features", "label").select("cell_id", "label")
@@ -266,13 +291,19 @@ def enrichment_dotplot_table(spark, d):
     return out.select("group", "label", *_r("value", "size", "color", digits=4))
 
 
+def enrichment_dotplot_significance(spark, d):
+    found = group.enrichment(t.cells_cust(spark, d), "condition", "cluster", pvalues=True, n_perms=20, seed=1, log=False)
+    out = figures.enrichment(found, significance=0.5, enriched_only=False, group_cluster=False)
+    return out.select("group", "label", *_r("value", "size", "color", digits=4))
+
+
 def proportion_table(spark, d):
     return figures.proportion(t.cells_evt(spark, d), "grp", "cluster", groups=["1", "2", "3"]).select("id", "val", "position", *_r("value"))
 
 
 def nhood_heatmap_table(spark, d):
     c, e = _cust(spark, d)
-    out = nhood.nhood_enrichment(c, e, "cluster", pvalues=True, n_perms=20, seed=1, method="hash")
+    out = nhood.nhood_enrichment(c, e, "cluster", pvalues=True, n_perms=20, seed=1)
     return figures.nhood_enrichment(out, c, "cluster", min_freq=0.19, transpose=True, significance=0.05, n_digits=3)
 
 
@@ -290,7 +321,7 @@ def shape_metrics_long(spark, d):
 
 def shape_boxes(spark, d):
     rows = t.cells_cust(spark, d).select("cluster", "value")
-    return figures.plot_shapes(rows, ["cluster"]).select("cluster", *_r("q1", "median", "q3", digits=4), "n")
+    return figures.plot_shapes(rows, ["cluster"]).select("cluster", *_r("q1", "median", "q3", "low", "high", digits=4), "n")
 
 
 def stability_curve(spark, d):
@@ -311,10 +342,10 @@ def queries() -> dict[str, Query]:
     out |= {"remove_long_links_p99": _long(99.0), "remove_long_links_p50": _long(50.0)}
     out |= {"aggregate_neighbors_mean_l2": _agg(2, "mean"), "aggregate_neighbors_var_l2": _agg(2, "var"), "aggregate_neighbors_mean_var_l3": _agg([0, 1, 3], ["mean", "var"]), "aggregate_neighbors_by_sample": _agg(1, ["mean"], "sample"), "aggregate_neighbors_embeddings": _agg(1, "mean", None, True)}
     out |= {"proportion_norm": _proportion(True), "proportion_counts": _proportion(False), "enrichment_log2": _enrichment(True), "enrichment_fc": _enrichment(False)}
-    out |= {f.__name__: f for f in (enrichment_perm_pvalue, enrichment_table_pvalue, nhood_orders, nhood_perm_pvalue, nhood_kernel_pvalue, diff_nhood_pairs, diff_nhood_perm_pvalue)}
+    out |= {f.__name__: f for f in (enrichment_perm_pvalue, enrichment_pvalue, nhood_orders, nhood_perm_pvalue, nhood_pvalue, diff_nhood_pairs, diff_nhood_perm_pvalue)}
     out |= {nhood_name(*v): _nhood(*v) for v in NHOOD}
     out |= {"connected_components_all": _components(None, 0), "connected_components_by_cluster": _components("cluster", 0), "connected_components_min_cells": _components("cluster", 4), "rcs": _rcs(None), "rcs_by_library": _rcs("condition")}
     out |= {f.__name__: f for f in (fmi_matrix, ari_pairs, stability_mirror, best_k, stability_peaks, stability_mape, polygon_area_perimeter, curl, elongation_hull_axes, linearity, alpha_shape_boundaries, boundaries_wkb)}
     out |= {"purity": _purity(False), "purity_exterior": _purity(True)}
-    out |= {f.__name__: f for f in (gmm_k1_moments, gmm_fit_predict, autok_fit, enrichment_dotplot_table, proportion_table, nhood_heatmap_table, diff_heatmap_negated, shape_metrics_long, shape_boxes, stability_curve, boundary_plot_components, windowed_label_counts)}
+    out |= {f.__name__: f for f in (gmm_k1_moments, gmm_em_steps, gmm_scores, gmm_fit_predict, autok_fit, enrichment_dotplot_table, enrichment_dotplot_significance, proportion_table, nhood_heatmap_table, diff_heatmap_negated, shape_metrics_long, shape_boxes, stability_curve, boundary_plot_components, windowed_label_counts)}
     return out

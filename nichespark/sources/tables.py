@@ -77,8 +77,9 @@ def cells_emb(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str, n_runs: int = 4, ks: tuple[int, int] = (2, 6)) -> DataFrame:
-    """Made-up clusterings: run, k, cell_id, label."""
+def runs(spark: SparkSession, sf_dir: str, n_runs: int = 4, ks: tuple[int, int] = (2, 6), agreed: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Made-up clusterings: run, k, cell_id, label; at the numbers of clusters from agreed[0] to agreed[1] all runs are alike."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("label").cast("long").alias("l"))
     grid = e.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1)))).withColumn("k", F.explode(F.sequence(F.lit(ks[0]), F.lit(ks[1]))))
-    return grid.select("run", "k", "cell_id", ((F.expr("cell_id div 16") * (2 * F.col("run") + 1) + F.col("l")) % F.col("k")).cast("int").alias("label"))
+    alike = F.when(F.col("k").between(*agreed), F.col("l") % 2)
+    return grid.select("run", "k", "cell_id", F.coalesce(alike, (F.expr("cell_id div 16") * (2 * F.col("run") + 1) + F.col("l")) % F.col("k")).cast("int").alias("label"))
