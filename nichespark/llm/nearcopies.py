@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nichespark.llm.simhash import Ball, bucket_groups, spanning
@@ -17,14 +17,18 @@ from nichespark.operators.star import star_components
 from nichespark.runtime import fresh_name, join_counted, settle, settle_table
 
 #: SimHashes of a text, and their bits. Two texts collide if one of them differs in at most 2 bits. At a similarity of 0.8 a bit
-#: differs with a chance of 0.15, two texts of that similarity collide with a chance of 0.998, at 0.85 with 0.99998.
+#: differs with a chance of 0.15, two texts of that similarity collide with a chance of 0.998, at 0.85 with 0.99998; a bit of
+#: texts of a few shingles differs with a chance of up to 0.19, which makes it 0.92.
 TABLES, BITS, HALF = 48, 32, 1
-#: Colliding pairs that differ in more than so many of 64 other bits are given up: 4 standard deviations above the mean at 0.8.
-FAR = 21
+#: Colliding pairs that differ in more than so many of 64 other bits are given up, and so are those that differ in more than so
+#: many of all 1,600: 4 standard deviations above the mean at 0.8 (the last: of sets of under SMALL shingles).
+FAR, FAR_OF_ALL, FAR_OF_SMALL, SMALL = 21, 300, 367, 40
 #: Shingles whose bits are counted at once; a count fits into a byte.
 BLOCK = 255
-#: The leaders of a bucket become so many times more from round to round.
-MORE = 8
+#: A variant of more nodes is gone through a second time, when most of them are known to be connected.
+CROWD = 8
+#: Words of fingerprints that are held against each other at once.
+WORDS = 1 << 21
 #: Pairs of one text that are verified in one task.
 PAIRS = 1000
 
@@ -72,93 +76,170 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sketch(stored: DataFrame, row: str, id_col: str, text_col: str, width: int) -> DataFrame:
-    """row, id, node (hash of the set of shingles), n (their number), look (64 bits) and prints (none without a word)."""
+    """row, id, node (hash of the set of shingles), n (their number) and prints (see simhashes; none without a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, look, prints = [], [], [], []
+            node, n, prints = [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, width)
                 p = simhashes(s) if len(s) else np.zeros(0, "<u4")
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
                 n.append(len(s))
-                look.append(int(p[TABLES:].view("<i8")[0]) if len(s) else 0)
-                prints.append(p[:TABLES].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(look, pa.int64()), pa.array(prints, pa.binary())], names=["row", "id", "node", "n", "look", "prints"])
+                prints.append(p.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(prints, pa.binary())], names=["row", "id", "node", "n", "prints"])
 
     rows = stored.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, node long, n long, look long, prints binary")
+    return rows.mapInArrow(run, f"row long, id {rows.schema['id'].dataType.simpleString()}, node long, n long, prints binary")
 
 
-#: A node on its way to a bucket: its number, the look, the number of its shingles, and the table's SimHash.
-ENTRY = np.dtype([("node", "<i8"), ("look", "<i8"), ("n", "<u4"), ("print", "<u4")])
+#: A node on its way to a bucket of the first pass: the other 64 bits, the number of its shingles, and the table's SimHash.
+ENTRY = np.dtype([("node", "<i8"), ("look", "<u8"), ("n", "<u4"), ("print", "<u4")])
+#: The same for the second pass: the node's label, and all its bits.
+WHOLE = np.dtype([("node", "<i8"), ("label", "<i8"), ("n", "<u4"), ("prints", "<u4", TABLES + 2)])
 
 
-def _may_be(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs of entries can be similar by their sizes, and are by their look."""
-    low, high = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
-    return (np.bitwise_count((a["look"] ^ b["look"]).view(np.uint64)) <= FAR) & (low * 100 >= high * percent)
+def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of so many elements can be similar."""
+    return np.minimum(a, b).astype(np.int64) * 100 >= np.maximum(a, b).astype(np.int64) * percent
 
 
-def collisions(nodes: DataFrame, n_nodes: int, percent: int, groups: int | None = None) -> DataFrame:
-    """bucket, a, b: the nodes that share a variant of one of their SimHashes, in two kinds of rows.
+def _variants(ball: Ball, v: np.ndarray, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all that share a variant, one such variant after the other, and how many each has; equal sets of places once."""
+    for key, place in ball.collisions(v, bucket):
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        of = np.diff(np.append(new, len(key)))
+        # equal sets of members have equal sums of hashes
+        mixed = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        once = np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), new), return_index=True)[1]
+        kept = np.isin(np.arange(len(new)), once)
+        yield place[np.repeat(kept, of)], of[kept]
 
-    With b null: node a has the variant `bucket` (variants of the same nodes and table once, those of a single
-    node not at all). With b: a pair of nodes that share a variant and may be similar; the first node of
-    each variant with all others, thinned to a spanning forest for each table and bucket.
-    nodes: node, n, look, prints. A table's fingerprints are dealt into buckets by simhash.Ball,
-    and every bucket makes the variants that belong there.
+
+def _centres(look: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each run of `of` members the place of the one that is nearest to the majority of their bits."""
+    starts = np.cumsum(of) - of
+    ones = np.add.reduceat(np.unpackbits(look.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64), starts, axis=0)
+    middle = np.packbits(2 * ones > of[:, None], axis=1).view(np.uint64).ravel()
+    run = np.repeat(np.arange(len(of)), of)
+    return np.lexsort((np.bitwise_count(look ^ middle[run]), run))[starts]
+
+
+def first_pairs(entry: np.ndarray, ball: Ball, bucket: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in one table's bucket that may be similar, and the places of crowds.
+
+    Variants of up to CROWD members give all their pairs; larger ones the pairs of their most central
+    member, thinned to a spanning forest.
+    """
+    one, two, star, ray, crowd = ([np.zeros(0, np.int64)] for _ in range(5))
+    for place, of in _variants(ball, entry["print"].astype(np.uint64), bucket):
+        size = np.repeat(of, of)
+        few, run = place[size <= CROWD], np.repeat(np.arange(len(of)), of)[size <= CROWD]
+        for d in range(1, CROWD):
+            same = run[d:] == run[:-d]
+            one.append(few[:-d][same])
+            two.append(few[d:][same])
+        many, of = place[size > CROWD], of[of > CROWD]
+        if len(many):
+            crowd.append(many)
+            star.append(np.repeat(many[_centres(entry["look"][many], of)], of))
+            ray.append(many)
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (x != y) & (np.bitwise_count(entry["look"][x] ^ entry["look"][y]) <= FAR) & _sizes_fit(entry["n"][x], entry["n"][y], percent)
+        pairs = np.unique(np.stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]]), axis=1)
+        return pairs[0], pairs[1]
+
+    x, y = near(np.concatenate(one), np.concatenate(two))
+    u, w = near(np.concatenate(star), np.concatenate(ray))
+    some = spanning(u, w)
+    return np.append(x, u[some]), np.append(y, w[some]), np.unique(np.concatenate(crowd))
+
+
+def second_pairs(entry: np.ndarray, ball: Ball, table: int, bucket: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places of different labels in one table's bucket that may be similar, but for those that collide in a table before it."""
+    words = np.ascontiguousarray(entry["prints"]).view("<u8")
+    n, label, found = entry["n"], entry["label"], [np.zeros((2, 0), np.int64)]
+    for place, of in _variants(ball, entry["prints"][:, table].astype(np.uint64), bucket):
+        for members in np.split(place, np.cumsum(of)[:-1]):
+            labels, at, times = np.unique(label[members], return_inverse=True, return_counts=True)
+            if len(labels) < 2:
+                continue
+            # members of the largest label are held against the others only, and these against all
+            rest = members[at != times.argmax()]
+            step = max(1, WORDS // (len(members) * words.shape[1]))
+            for i in range(0, len(rest), step):
+                a, b = (x.ravel() for x in np.broadcast_arrays(rest[i : i + step, None], members[None, :]))
+                ok = (label[a] != label[b]) & _sizes_fit(n[a], n[b], percent)
+                a, b = a[ok], b[ok]
+                limit = np.where(np.minimum(n[a], n[b]) < SMALL, FAR_OF_SMALL, FAR_OF_ALL)
+                ok = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= limit
+                found.append(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]]))
+    x, y = np.unique(np.concatenate(found, axis=1), axis=1)
+    first = np.ones(len(x), bool)
+    for i in range(0, len(x), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        first[part] = ~(np.bitwise_count(entry["prints"][x[part], :table] ^ entry["prints"][y[part], :table]) <= 2 * HALF).any(axis=1)
+    return x[first], y[first]
+
+
+def _dealt(nodes: DataFrame, n_nodes: int, kind: np.dtype, columns: list[str], groups: int | None, meet) -> DataFrame:
+    """Nodes dealt into the buckets of all tables as entries of a kind; meet(entries, ball, table, bucket) gives columns a, b there.
+
+    A table's fingerprints are dealt by simhash.Ball; every bucket makes the variants that belong there.
     """
     groups = bucket_groups(n_nodes, 1 + BITS, 0, 20) if groups is None else groups
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = Ball(BITS, HALF, groups)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            entry = np.empty(b.num_rows, ENTRY)
-            for name, column in zip(("node", "n", "look"), b.columns, strict=False):
-                entry[name] = column.to_numpy(zero_copy_only=False)
-            prints = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u4").reshape(-1, TABLES)
-            keys, parts = [], []
-            for t in range(TABLES):
-                entry["print"] = prints[:, t]
-                bucket, place = ball.addresses(prints[:, t].astype(np.uint64))
-                starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                for i, j in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                    keys.append((t << 32) | int(bucket[i]))
-                    parts.append(entry[place[i:j]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "packed"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                b = whole.slice(start, 4096)
+                entry = np.zeros(b.num_rows, kind)
+                prints = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").reshape(-1, TABLES + 2)
+                for name, column in zip(columns, b.columns[1:], strict=True):
+                    entry[name] = column.to_numpy(zero_copy_only=False)
+                if "look" in kind.names:
+                    entry["look"] = np.ascontiguousarray(prints[:, TABLES:]).view("<u8").ravel()
+                else:
+                    entry["prints"] = prints
+                keys, parts = [], []
+                for t in range(TABLES):
+                    if "print" in kind.names:
+                        entry["print"] = prints[:, t]
+                    bucket, place = ball.addresses(prints[:, t].astype(np.uint64))
+                    starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+                    for i, j in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                        keys.append((t << 32) | int(bucket[i]))
+                        parts.append(entry[place[i:j]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "packed"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(pdf["bucket"].iloc[0])
-        entry = np.frombuffer(b"".join(pdf["packed"]), ENTRY)
+        entry = np.frombuffer(b"".join(pdf["packed"]), kind)
         entry = entry[np.argsort(entry["node"])]
-        keys, members, one, two = [], [], [], []
-        for key, place in Ball(BITS, HALF, groups).collisions(entry["print"].astype(np.uint64), at & 0xFFFFFFFF):
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            of = np.diff(np.append(new, len(key)))
-            # equal sets of members have equal sums of hashes
-            mixed = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            once = np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), new), return_index=True)[1]
-            kept = np.isin(np.repeat(np.arange(len(new)), of), once)
-            head, place = np.repeat(place[new], of)[kept], place[kept]
-            keys.append(key[kept].view(np.int64) | (at >> 32) << 32)
-            members.append(place)
-            near = (head != place) & _may_be(entry[head], entry[place], percent)
-            one.append(head[near])
-            two.append(place[near])
-        if not keys:
-            return pd.DataFrame({"bucket": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "b": pd.array([], "Int64")})
-        x, y = np.concatenate(one), np.concatenate(two)
-        some = spanning(x, y)
-        x, y, members = entry["node"][x[some]], entry["node"][y[some]], entry["node"][np.concatenate(members)]
-        mask = np.append(np.zeros(len(x), bool), np.ones(len(members), bool))
-        return pd.DataFrame({"bucket": np.append(np.full(len(x), -1), np.concatenate(keys)), "a": np.append(x, members), "b": pd.arrays.IntegerArray(np.append(y, np.zeros(len(members), np.int64)), mask)})
-
-    packed = nodes.where(F.length("prints") > 0).select("node", "n", "look", "prints").coalesce(max(8, n_nodes >> 16)).mapInArrow(emit, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "bucket long, a long, b long")
+        a, b = meet(entry, Ball(BITS, HALF, groups), at >> 32, at & 0xFFFFFFFF)
+        mask = b < 0
+        return pd.DataFrame({"a": entry["node"][a], "b": pd.arrays.IntegerArray(entry["node"][np.where(mask, 0, b)] if len(b) else np.zeros(0, np.int64), mask)})
+
+    packed = nodes.where(F.length("prints") > 0).select("prints", *columns).coalesce(max(8, n_nodes >> 16)).mapInArrow(emit, "bucket long, packed binary")
+    return packed.groupBy("bucket").applyInPandas(run, "a long, b long")
+
+
+def first_pass(nodes: DataFrame, n_nodes: int, percent: int, groups: int | None = None) -> DataFrame:
+    """a, b: pairs of nodes of all tables' first_pairs; with b null: nodes of crowds. nodes: node, n, prints."""
+
+    def meet(entry: np.ndarray, ball: Ball, table: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b, crowd = first_pairs(entry, ball, bucket, percent)
+        return np.append(a, crowd), np.append(b, np.full(len(crowd), -1))
+
+    return _dealt(nodes, n_nodes, ENTRY, ["node", "n"], groups, meet)
+
+
+def second_pass(nodes: DataFrame, n_nodes: int, percent: int, groups: int | None = None) -> DataFrame:
+    """a, b: pairs of nodes of all tables' second_pairs. nodes: node, label, n, prints."""
+    return _dealt(nodes, n_nodes, WHOLE, ["node", "label", "n"], groups, lambda entry, ball, table, bucket: second_pairs(entry, ball, table, bucket, percent))
 
 
 def _verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -188,53 +269,35 @@ def _verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, texts: DataFrame
     return settle(salted.join(b, "b").join(a, ["a", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
+def _labels(links: DataFrame, n_links: int) -> DataFrame:
     """node, label: the smallest node within two links; nodes of equal labels are connected."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    far = both.join(near.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
-    return settle(far)
+    near = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count("*").alias("n")))
+    far = join_counted(both.select("a", F.col("b").alias("node")), near.withColumnRenamed("a", "node"), "node", 2 * n_links)
+    return far.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
 
 
 def near_copy_links(nodes: DataFrame, n_nodes: int, texts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """a, b: links between similar nodes that connect all similar nodes which collide.
 
-    nodes: row, node, n, look, prints, settled, a row for each node; texts: row, t. At first the pairs of
-    collisions() are compared. Then, in rounds, leaders of each variant are held against its other
-    members, and leave it; a variant is done when all that is left in it is known to be connected. So each
-    colliding pair is compared, unless it is already connected, cannot be similar by its
-    sizes, or differs in too many other bits, and a variant of many near copies costs few comparisons each. No cap is set.
+    nodes: row, node, n, prints, settled, a row for each node; texts: row, t. Colliding pairs that may be
+    similar are compared exactly. Of crowds (more than CROWD nodes with a variant) the pairs of the
+    most central node come first; then, in a second pass over the nodes of crowds, all pairs that collide, are not
+    known to be connected, and may be similar by all their bits. So a group of many near copies
+    costs few comparisons each, and no cap is set.
     """
-    met = settle(collisions(nodes, n_nodes, percent))
-    pairs = settle(met.where("b is not null").select("a", "b").distinct())
-    entries = met.where("b is null").select("bucket", F.col("a").alias("node")).join(nodes.select("node", F.col("n").alias("size"), "look"), "node")
-    links = tried = None
-    parts = 1
-    while True:
-        if n_pairs := pairs.count():
-            good = _verified(pairs, n_pairs, nodes.select("node", "row"), texts, width, percent)
-            links = good if links is None else links.unionByName(good)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            entries = entries.drop("label").join(_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        elif links is None:
-            links = pairs
-            entries = entries.withColumn("label", F.col("node"))
-        entries = settle(entries)
-        part = F.pmod(F.xxhash64("node"), F.lit(parts)) if parts > 1 else F.lit(0)
-        led = entries.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "size", "look", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-        every = Window.partitionBy("bucket")
-        led = led.withColumns({"n": F.sum("n").over(every), "lo": F.min("lo").over(every), "hi": F.max("hi").over(every)}).where("lo < hi")
-        leaders = settle(led.select("bucket", "n", F.col("lead.node").alias("l"), F.col("lead.size").alias("ls"), F.col("lead.look").alias("ll"), F.col("lead.label").alias("lb")))
-        n_entries = leaders.select("bucket", "n").distinct().agg(F.sum("n")).first()[0]
-        if not n_entries:
-            return links
-        near = (F.col("label") != F.col("lb")) & (F.least("size", "ls") * 100 >= F.greatest("size", "ls") * percent) & (F.bit_count(F.col("look").bitwiseXOR(F.col("ll"))) <= FAR)
-        found = join_counted(entries, leaders, "bucket", n_entries).where(near).select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
-        pairs = settle(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-        # variants that are done have no leader, and leave too
-        done = leaders.select("bucket", F.col("l").alias("node"))
-        entries = join_counted(entries, leaders.groupBy("bucket").agg(F.first("n").alias("n")), "bucket", n_entries).join(done, ["bucket", "node"], "left_anti")
-        parts *= MORE
+    met = settle(first_pass(nodes, n_nodes, percent))
+    rows, texts = nodes.select("node", "row"), texts.select("row", "t")
+    tried = settle(met.where("b is not null").distinct())
+    if not (n_tried := tried.count()):
+        return tried
+    links = _verified(tried, n_tried, rows, texts, width, percent)
+    open_ = nodes.drop("row").join(met.where("b is null").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    labelled = settle(open_.join(_labels(links, n_tried), "node", "left").select("node", "n", "prints", F.coalesce("label", "node").alias("label")))
+    if not (n_open := labelled.count()):
+        return links
+    more = settle(second_pass(labelled, n_open, percent).distinct().join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(_verified(more, n_more, rows, texts, width, percent)) if (n_more := more.count()) else links
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from nichespark.llm import nearcopies
 from nichespark.llm.nearcopies import drop_near_copies
 from nichespark.llm.simhash import fingerprint
 
@@ -62,6 +64,44 @@ def test_stage_is_brute_force(spark):
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_force(ids, texts)
 
 
+def test_a_crowd_is_brute_force(spark):
+    """A text and many changed copies of it, some too far from it, but near others: pairs of crowds are found in the second pass."""
+    base = prose(5, 200)
+    texts = [base] + [changed(base, 1 + s % 9, s) for s in range(60)]
+    chain = base
+    for s in range(40):
+        chain = changed(chain, 4, 100 + s)
+        texts.append(chain)
+    ids = random.Random(5).sample(range(1000), len(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_force(ids, texts)
+
+
+def test_pairs_of_both_passes_are_all_that_collide():
+    texts = [prose(s, 150) for s in range(6)]
+    texts += [changed(texts[s % 6], 1 + s % 7, s) for s in range(150)]
+    sets = [nearcopies.shingles(t) for t in texts]
+    prints = np.array([nearcopies.simhashes(s) for s in sets])
+    whole = np.zeros(len(texts), nearcopies.WHOLE)
+    whole["node"], whole["n"], whole["prints"], whole["label"] = np.arange(len(texts)), [len(s) for s in sets], prints, np.arange(len(texts)) // 3
+    near = np.bitwise_count(prints[:, None, :48] ^ prints[None, :, :48]) <= 2
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
+    fit = np.array([[10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) for a in sets] for b in sets])
+    want = {(a, b) for a, b in zip(*np.nonzero(near.any(axis=2) & (apart <= 300) & fit), strict=True) if a < b and a // 3 != b // 3}
+    for groups in (0, 3):
+        found = []
+        for t in range(48):
+            for bucket in range(1 << groups):
+                ball = nearcopies.Ball(32, 1, groups)
+                v = prints[:, t].astype(np.uint64)
+                at, place = ball.addresses(v)
+                mine = np.sort(place[at == bucket])
+                if len(mine):
+                    a, b = nearcopies.second_pairs(whole[mine], ball, t, bucket, 80)
+                    found += zip(mine[a].tolist(), mine[b].tolist(), strict=True)
+        assert set(found) == want and (groups or len(found) == len(want))
+
+
 def test_odd_rows(odd, none):
     kept = drop_near_copies(odd)
     assert kept.columns == odd.columns and drop_near_copies(none).count() == 0
