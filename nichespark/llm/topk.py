@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,19 +13,23 @@ from pyspark.sql import functions as F
 
 from nichespark.runtime import settle
 
-#: Rows of a block of candidates and of a block of queries.
-BLOCK, QUERIES = 4096, 1024
+#: Rows of a block of candidates and of a block of queries, and query blocks that one task holds against a block.
+BLOCK, QUERIES, AT_ONCE = 4096, 1024, 64
+LOWEST = np.iinfo(np.int64).min
 #: Coordinates after which rotated partial sums are looked at.
 STOPS = (8, 16, 32)
 
 
 def _pack(ids: np.ndarray, vectors: np.ndarray) -> dict:
-    return {"ids": ids.astype(np.int64).tobytes(), "vectors": vectors.astype(np.int64).tobytes()}
+    """Ids, and integers in the smallest kind that holds them all, its width first."""
+    most = int(np.abs(vectors).max(initial=0))
+    kind = next(k for k in ("<i2", "<i4", "<i8") if most <= np.iinfo(k).max)
+    return {"ids": ids.astype(np.int64).tobytes(), "vectors": kind[2].encode() + vectors.astype(kind).tobytes()}
 
 
 def _unpack(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vectors, np.int64).reshape(len(i), -1)
+    return i, np.frombuffer(vectors, f"<i{vectors[:1].decode()}", offset=1).astype(np.int64).reshape(len(i), -1)
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -100,6 +105,11 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.nd
     return i[top], d[top], s[top]
 
 
+def blocks_needed(tops: np.ndarray, cut: float) -> np.ndarray:
+    """The blocks after the first whose longest vector is as long as the cut, with a margin for rounding."""
+    return np.flatnonzero(tops[1:] * (1 + 1e-9) + 1e-6 >= cut) + 1
+
+
 def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k candidates of largest integer inner product.
 
@@ -111,9 +121,12 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
 
     Vectors are dealt into blocks by descending length (splitters from exact quantiles of a
     sketch of lengths); the rotation is that of the singular vectors of all candidates, from one
-    summed Gram matrix. The first block, of the longest vectors, gives every query a score that
-    k candidates reach; the other blocks are then searched side by side, pruned by that score.
-    Queries go to the blocks in packed blocks of at most 1,024.
+    summed Gram matrix (its square number of dimensions comes to the driver). The first block, of the
+    longest vectors, is broadcast (BLOCK rows or twice as many) and gives every query a score that k
+    candidates reach. That score over the query's length is the shortest vector that can still matter.
+    Queries are put into blocks by it, and a query block is sent to the blocks with a vector
+    of that length only; there partial sums prune pairs. Up to AT_ONCE query blocks meet a block in one
+    task, others in another, so that the blocks of long vectors, which all queries need, are no hot tasks.
     """
     spark = vectors.sparkSession
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where("id is not null and x is not null")
@@ -165,54 +178,72 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
         m = np.zeros((len(pdf), dims), np.int64)
         for i, x in enumerate(pdf["v"]):
             m[i, : len(x)] = x
-        return pd.DataFrame([{"key": pdf["key"].iloc[0], **_pack(pdf["id"].to_numpy(), m)}])
+        return pd.DataFrame([{"key": pdf["key"].iloc[0], "top": pdf["norm"].iloc[0], **_pack(pdf["id"].to_numpy(), m)}])
 
-    packed = "key int, ids binary, vectors binary"
+    packed = "key int, top double, ids binary, vectors binary"
     candidates = settle(placed.withColumn("key", block).select("key", "id", "v", "norm").groupBy("key").applyInPandas(pack, packed))
-    asked = ints.where(F.pmod("id", F.lit(every)) == 0)
-    n_queries = asked.count()
-    groups = max(1, -(-n_queries // QUERIES))
-    queries = settle(asked.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).select("key", "id", "v", "norm").groupBy("key").applyInPandas(pack, packed))
-    q = queries.select(F.col("key").alias("q_key"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    result = "q_key int, query_id long, vec_id long, score long"
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for r in pdf.itertuples():
-            q_ids, qs = _unpack(r.q_ids, r.q_vectors)
-            ids, vs = _unpack(r.ids, r.vectors)
-            least = np.frombuffer(r.least, np.int64) if r.least is not None else np.full(len(q_ids), np.iinfo(np.int64).min)
-            i, d, s = search_block(q_ids, qs, least, ids, vs, rotation, k)
-            found.append(pd.DataFrame({"q_key": r.q_key, "query_id": q_ids[i], "vec_id": d, "score": s}))
-        return pd.concat(found)
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for i in range(len(pdf)):
-                yield search(pdf.iloc[i : i + 1])
-
-    def meet(key_blocks: DataFrame, with_least: DataFrame) -> DataFrame:
-        """Every block of queries with the named blocks of candidates: queries are addressed to blocks."""
-        return with_least.join(key_blocks, "key").select("q_key", "q_ids", "q_vectors", "least", "ids", "vectors").mapInPandas(run, result)
-
-    lowest = F.lit(None).cast("binary")
-    # exploded, not a literal: the optimizer would make a product of a join by a constant
-    first = settle(meet(candidates, q.withColumns({"least": lowest, "key": F.explode(F.array(F.lit(0)))})))
-
-    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(pdf["q_ids"].iloc[0], np.int64)
-        have = pdf.dropna(subset=["score"]).groupby("query_id")["score"].agg(["size", "min"])
-        least = np.array([have["min"].get(i) if have["size"].get(i, 0) >= k else np.iinfo(np.int64).min for i in ids], np.int64)
-        one = pdf.iloc[0]
-        return pd.DataFrame([{"q_key": one["q_key"], "q_ids": one["q_ids"], "q_vectors": one["q_vectors"], "least": least.tobytes()}])
-
-    if n_blocks > 1:
-        # only the first of a query block's rows carries its vectors
-        heads = q.select("q_key", "q_ids", "q_vectors", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("score"))
-        tails = first.select("q_key", F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_vectors"), "query_id", "score")
-        ready = heads.unionByName(tails).groupBy("q_key").applyInPandas(lambda pdf: bounds(pdf.sort_values("q_ids", key=lambda c: c.isna(), kind="stable")), "q_key int, q_ids binary, q_vectors binary, least binary")
-        addressed = ready.withColumn("key", F.explode(F.sequence(F.lit(1), F.lit(n_blocks - 1))))
-        others = meet(candidates, addressed)
-        first = first.unionByName(others)
+    tops = np.zeros(n_blocks)
+    for r in candidates.select("key", "top").collect():
+        tops[r["key"]] = r["top"]
+    head = candidates.where("key = 0").select("ids", "vectors").first()
+    first_block = spark.sparkContext.broadcast((bytes(head["ids"]), bytes(head["vectors"])))
+    asked = ints.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
+    result = "query_id long, vec_id long, score long"
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vs = _unpack(*first_block.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERIES):
+                b = whole.slice(at, QUERIES)
+                q_ids, qs = b.column(0).to_numpy(), padded(b.column(1))
+                i, d, s = search_block(q_ids, qs, np.full(len(q_ids), LOWEST), ids, vs, rotation, k)
+                n = np.bincount(i, minlength=len(q_ids))
+                # results stand by query, the best first; no score is needed yet where there are fewer than k
+                last = np.cumsum(n) - 1
+                least = np.where(n >= k, s[np.minimum(last, len(s) - 1)] if len(s) else LOWEST, LOWEST)
+                ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least), pa.ListArray.from_arrays(ends, pa.array(d)), pa.ListArray.from_arrays(ends, pa.array(s))], names=["id", "v", "least", "d", "s"])
+
+    started = settle(asked.mapInArrow(start, "id long, v array<long>, least long, d array<long>, s array<long>"))
+    found = started.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("d", "s")).alias("x")).select("query_id", F.col("x.d").alias("vec_id"), F.col("x.s").alias("score"))
+    n_queries = started.count() if n_blocks > 1 else 0
+    if n_queries:
+        shared_tops = spark.sparkContext.broadcast(tops)
+        # the shortest vector that can matter to a query: its product with the query's length must reach the score
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+        cut = F.when((F.col("least") <= 0) | (length == 0), F.lit(0.0)).otherwise(F.col("least").cast("double") / length)
+        parts = max(1, min(4096, -(-n_queries // (4 * QUERIES))))
+        sorted_queries = started.select("id", "v", "least", cut.alias("cut")).repartitionByRange(parts, "cut", "id").sortWithinPartitions(F.desc("cut"))
+
+        def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            at_block, number = shared_tops.value, 0
+            for whole in batches:
+                for at in range(0, whole.num_rows, QUERIES):
+                    b = whole.slice(at, QUERIES)
+                    q_ids, least, cuts = (b.column(c).to_numpy() for c in (0, 2, 3))
+                    to = blocks_needed(at_block, cuts.min())
+                    packed, salt = _pack(q_ids, padded(b.column(1))), zlib.crc32(f"{TaskContext.get().partitionId()} {number}".encode()) % salts
+                    number += 1
+                    for i in range(0, len(to), 16):
+                        part = to[i : i + 16]
+                        same = [pa.array([x] * len(part), pa.binary()) for x in (packed["ids"], packed["vectors"], least.tobytes())]
+                        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([salt] * len(part), pa.int32()), *same], names=["key", "salt", "q_ids", "q_vectors", "least"])
+
+        salts = max(1, -(-n_queries // (QUERIES * AT_ONCE)))
+        addressed = sorted_queries.mapInArrow(address, "key int, salt int, q_ids binary, q_vectors binary, least binary")
+        copies = candidates.where("key > 0").select("key", "ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in range(b.num_rows):
+                    q_ids, qs = _unpack(b.column(0)[r].as_py(), b.column(1)[r].as_py())
+                    ids, vs = _unpack(b.column(3)[r].as_py(), b.column(4)[r].as_py())
+                    i, d, s = search_block(q_ids, qs, np.frombuffer(b.column(2)[r].as_py(), np.int64), ids, vs, rotation, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(d), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+        met = addressed.join(copies, ["key", "salt"]).select("q_ids", "q_vectors", "least", "ids", "vectors")
+        found = found.unionByName(met.mapInArrow(search, result))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -275,6 +275,24 @@ def test_topk_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_topk_sends_queries_to_needed_blocks_only(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("QUERIES", 4), ("AT_ONCE", 1)):
+        monkeypatch.setattr(topk, name, value)
+    made, needed = [], topk.blocks_needed
+    assert needed(np.array([9.0, 5.0, 4.0, 0.0]), 4.5).tolist() == [1] and needed(np.array([9.0, 5.0]), 6).tolist() == []
+    # most vectors are too short for the longest queries, and are never sent any
+    v = np.random.default_rng(6).normal(0, 1, (1500, 5)) * np.where(np.arange(1500) % 10 == 0, 10.0, 0.01)[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, k=3, every=50)
+    q = np.floor(1024 * v).astype(int)
+    want = [(i, n + 1, j, -s) for i in range(0, 1500, 50) for n, (s, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in range(1500) if j != i)[:3])]
+    assert sorted(map(tuple, got.collect())) == want
+    tops = np.sort(np.sqrt((q.astype(float) ** 2).sum(axis=1)))[::-1][::64]
+    for i in range(0, 1500, 50):
+        made.append(len(needed(tops, want[i // 50 * 3 + 2][3] / np.sqrt((q[i].astype(float) ** 2).sum()))))
+    assert max(made) <= 4 and len(tops) == 24
+
+
 def test_language(odd, none, spark):
     from tests.llm.conftest import prose
 
