@@ -16,35 +16,35 @@ from pyspark.sql import functions as F
 #: Bounds of the sample that a model is fitted on, for each language: characters of labelled text,
 #: and the longest document that is taken into it (always whole).
 SAMPLE_CHARS, SAMPLE_DOC_CHARS = 40_000, 4_096
-#: Letters told apart; other letters are one class, and so is all that is no letter.
-SYMBOLS = 62
-#: Texts are parsed in pieces of this length, side by side; a phrase ends where a piece ends.
+#: Texts are parsed in pieces of this length, side by side, and then joined (see Parser).
 PIECE = 1024
+#: States that are remembered at once, of all languages and pieces.
+REMEMBERED = 1 << 22
 LETTER = regex.compile(r"\p{L}")
 
 
-@dataclass(frozen=True)
-class Automaton:
-    """Suffix automaton of one language's text as lists of (state, symbol, target); state 0 is the root."""
-
-    states: int
-    state: np.ndarray
-    symbol: np.ndarray
-    target: np.ndarray
-    length: int
-
-
 @dataclass(frozen=True)
 class Model:
-    """Symbols (letters as code points, sorted) and an automaton for each language, languages sorted."""
+    """Suffix automata of all languages (sorted) in one packed table.
+
+    symbols: the letters of the samples as code points, the most frequent first; their classes are 2 and
+    up, 0 is any other letter, 1 all that is no letter. A state s has a step with class c if
+    check[base[s] + c] is s, to the state target[base[s] + c]. roots: each language's first state; first: the
+    state after each class from there, and 1 where the language has no such class; lengths: of the samples.
+    """
 
     symbols: np.ndarray
     languages: list[str]
-    automata: list[Automaton]
+    base: np.ndarray
+    check: np.ndarray
+    target: np.ndarray
+    roots: np.ndarray
+    first: np.ndarray
+    lengths: np.ndarray
 
 
-def suffix_automaton(text: list[int]) -> Automaton:
-    """The smallest automaton whose paths from the root are the substrings of text."""
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """The smallest automaton whose paths from state 0 are the substrings of text: the steps of each state."""
     moves: list[dict[int, int]] = [{}]
     link, longest = [-1], [0]
     last = 0
@@ -71,8 +71,43 @@ def suffix_automaton(text: list[int]) -> Automaton:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    triples = np.array([(s, c, t) for s, m in enumerate(moves) for c, t in m.items()], np.int32).reshape(-1, 3)
-    return Automaton(len(moves), triples[:, 0], triples[:, 1], triples[:, 2], len(text))
+    return moves
+
+
+def pack(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base, check, target: rows of a sparse table laid over each other, so that no two steps share a place.
+
+    Rows of several steps go to the first places that fit, from where the last one went on; then
+    each row of one step fills a gap.
+    """
+    order = sorted((s for s, m in enumerate(moves) if len(m) > 1), key=lambda s: -len(moves[s]))
+    taken, cursor, bases = bytearray(width + 4 * sum(map(len, moves)) + 1), width, {}
+    for s in order:
+        keys = sorted(moves[s])
+        low, rest = keys[0], keys[1:]
+        at, tries = cursor, 0
+        while taken[at] or any(taken[at + k - low] for k in rest):
+            at = taken.find(b"\0", at + 1)
+            if (tries := tries + 1) == 200:  # the beginning is full: go on further behind
+                cursor = at
+            if at + width >= len(taken):
+                taken.extend(bytes(len(taken)))
+        bases[s] = at - low
+        for k in keys:
+            taken[at + k - low] = 1
+    single = [(s, *next(iter(m.items()))) for s, m in enumerate(moves) if len(m) == 1]
+    free = np.flatnonzero(np.frombuffer(taken, np.uint8)[width:] == 0) + width
+    if len(free) < len(single):
+        free = np.append(free, len(taken) + np.arange(len(single) - len(free)))
+    base = np.zeros(len(moves), np.int64)
+    base[list(bases)] = list(bases.values())
+    rows = [(s, c, t, bases[s] + c) for s in bases for c, t in moves[s].items()] + [(s, c, t, int(f)) for (s, c, t), f in zip(single, free, strict=False)]
+    state, symbol, to, place = np.array(rows, np.int64).reshape(-1, 4).T
+    base[state] = place - symbol
+    size = int(place.max(initial=0)) + width + 1
+    check, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    check[place], target[place] = state, to
+    return base.astype(np.int32), check, target
 
 
 @lru_cache(maxsize=1)
@@ -82,7 +117,7 @@ def _letters() -> np.ndarray:
 
 def class_table(symbols: np.ndarray) -> np.ndarray:
     """The class of every code point: 0 any other letter, 1 what is no letter, 2 and up the symbols."""
-    table = np.where(_letters(), 0, 1).astype(np.uint8)
+    table = np.where(_letters(), 0, 1).astype(np.int32)
     table[symbols] = np.arange(len(symbols)) + 2
     return table
 
@@ -93,69 +128,128 @@ def classes(text: str, table: np.ndarray) -> np.ndarray:
     return c[np.concatenate([[True], (c[1:] != 1) | (c[:-1] != 1)])] if len(c) else c
 
 
-def train(samples: dict[str, list[str]], n_symbols: int = SYMBOLS) -> Model:
-    """A model of texts by language."""
+def train(samples: dict[str, list[str]]) -> Model:
+    """A model of texts by language. Every letter of the samples is told apart, whatever its script."""
     languages = sorted(samples)
-    joined = {x: "\n".join(samples[x]).lower() for x in languages}
-    points, counts = np.unique(np.frombuffer("".join(joined.values()).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    joined = ["\n".join(samples[x]).lower() for x in languages]
+    points, counts = np.unique(np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
     letters = _letters()[points]
     points, counts = points[letters], counts[letters]
-    symbols = np.sort(points[np.lexsort((points, -counts))][:n_symbols])
-    table = class_table(symbols)
-    return Model(symbols, languages, [suffix_automaton(classes(joined[x], table).tolist()) for x in languages])
+    symbols = points[np.lexsort((points, -counts))]
+    table, width = class_table(symbols), len(symbols) + 2
+    moves, roots, lengths = [], [], []
+    for text in joined:
+        own, at = classes(text, table).tolist(), len(moves)
+        moves += [{c: t + at for c, t in m.items()} for m in suffix_automaton(own)]
+        roots.append(at)
+        lengths.append(len(own))
+    first = np.array([[2 * moves[r].get(c, r) + (c not in moves[r]) for c in range(width)] for r in roots], np.int32).reshape(len(roots), width)
+    return Model(symbols, languages, *pack(moves, width), np.array(roots, np.int32), first, np.array(lengths, np.int64))
 
 
 class Parser:
-    """Greedy cross-parsing of many texts against all languages in lockstep."""
+    """Greedy cross-parsing of whole texts against all languages in lockstep.
+
+    A text is cut into pieces that are parsed side by side, each as if a phrase began with it, and the
+    states on the way are remembered. Then each piece is entered once more with the state in which the
+    piece before it ended, until both ways are in the same state: from there on they are one. A piece
+    in which they never meet ends in another state, and the next one is entered again. So phrases cross
+    the borders of pieces, and the counts are those of a parse from the beginning to the end.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.width, self.classes = model, len(model.symbols) + 3, class_table(model.symbols)
-        w, tables, roots, base = self.width, [], [], 0
-        for a in model.automata:
-            # a cell is the next state times 4, plus the phrases that the step ends: one where a step leads
-            # nowhere (the next starts with its symbol), one more for a symbol that the language has not
-            step = np.full(a.states * w, -1, np.int64)
-            step[a.state.astype(np.int64) * w + a.symbol] = (a.target.astype(np.int64) + base) * w * 4
-            root = step[:w].copy()
-            root[root < 0] = base * w * 4 + 1
-            grid = step.reshape(a.states, w)
-            grid[0] = root
-            grid[1:] = np.where(grid[1:] < 0, root[None, :] + 1, grid[1:])
-            grid[:, w - 1] = (np.arange(a.states) + base) * w * 4  # padding: stay
-            tables.append(step)
-            roots.append(base * w)
-            base += a.states
-        self.table = np.concatenate(tables).astype(np.int64 if base * w * 4 >= 2**31 else np.int32) if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, self.table.dtype)
-        self.bits = np.log2(np.array([max(2, a.length) for a in model.automata], float))
+        self.model, self.classes = model, class_table(model.symbols)
+        self.flat = model.first.ravel()
+        self.row = (np.arange(len(model.roots), dtype=np.int64) * model.first.shape[1])[:, None]
+        self.roots = model.roots[:, None]
+        self.bits = np.log2(np.maximum(model.lengths, 2).astype(float))
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and the phrases that end with the step: one where a step leads nowhere (the next phrase
+        begins with its symbol), one more for a symbol that the language has not."""
+        m = self.model
+        place = m.base[state] + symbol
+        again = m.check[place] != state
+        from_root = self.flat[self.row + symbol]
+        ended = again & (state != self.roots)
+        return np.where(again, from_root >> 1, m.target[place]), ended.view(np.int8) + (again & (from_root & 1).astype(bool)).view(np.int8)
+
+    def _block(self, pieces: list[np.ndarray], joined: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each piece by language, and the state after the last piece.
+
+        joined: whether a piece goes on from the one before it (the first one: from the state entry).
+        """
+        lens = np.array([len(p) for p in pieces])
+        order = np.argsort(-lens, kind="stable")
+        steps, n, k = int(lens.max()), len(pieces), len(self.roots)
+        grid = np.zeros((steps, n), np.int32)
+        for lane, p in enumerate(order.tolist()):
+            grid[: lens[p], lane] = pieces[p]
+        lens, lane_of = lens[order], np.argsort(order)
+        states, sums = np.zeros((steps, k, n), np.int32), np.zeros((steps, k, n), np.int16)
+        live = np.searchsorted(-lens, -np.arange(1, steps + 1), side="right")
+        state, count = np.repeat(self.roots, n, axis=1), np.zeros((k, n), np.int64)
+        for t in range(steps):
+            on = slice(0, int(live[t]))
+            state[:, on], ended = self._step(state[:, on], grid[t, on])
+            count[:, on] += ended
+            states[t], sums[t] = state, count
+        # pairs of language and piece that are entered again
+        todo = np.flatnonzero(joined)
+        lang, piece = np.repeat(np.arange(k), len(todo)), np.tile(todo, k)
+        ends = state.copy()
+        while len(piece):
+            before = np.where(piece > 0, lane_of[piece - 1], 0)
+            now, lane = np.where(piece > 0, ends[lang, before], entry[lang]), lane_of[piece]
+            late, at = np.zeros(len(piece), np.int64), np.arange(len(piece))
+            changed = []
+            for t in range(steps):
+                if not len(at):
+                    break
+                g, ln = lang[at], lane[at]
+                place = self.model.base[now[at]] + grid[t, ln]
+                again = self.model.check[place] != now[at]
+                from_root = self.model.first[g, grid[t, ln]]
+                late[at] += (again & (now[at] != self.roots[g, 0])).astype(np.int64) + (again & (from_root & 1).astype(bool))
+                now[at] = np.where(again, from_root >> 1, self.model.target[place])
+                met, over = now[at] == states[t, g, ln], lens[ln] == t + 1
+                hit = at[met | over]
+                if len(hit):
+                    g, ln = lang[hit], lane[hit]
+                    last = lens[ln] - 1
+                    count[g, ln] = late[hit] + sums[last, g, ln] - sums[t, g, ln]
+                    end = np.where(now[hit] == states[t, g, ln], states[last, g, ln], now[hit])
+                    other = end != ends[g, ln]
+                    ends[g, ln] = end
+                    changed.append(hit[other])
+                    at = at[~(met | over)]
+            # pieces behind one that now ends in another state
+            moved = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+            lang, piece = lang[moved], piece[moved] + 1
+            goes_on = piece < n
+            lang, piece = lang[goes_on], piece[goes_on]
+            goes_on = joined[piece]
+            lang, piece = lang[goes_on], piece[goes_on]
+        return count[:, lane_of].T, ends[:, lane_of]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text for each language, and the characters of each text."""
         coded = [classes(t, self.classes) for t in texts]
         chars = np.array([len(c) for c in coded], np.int64)
-        pieces, owner = [], []
-        for i, c in enumerate(coded):
-            for at in range(0, len(c), PIECE):
-                pieces.append(c[at : at + PIECE])
-                owner.append(i)
-        out = np.zeros((len(texts), len(self.roots)), np.int64)
-        lens = np.array([len(p) for p in pieces], np.int64)
-        order = np.argsort(lens, kind="stable")
-        for lo in range(0, len(pieces), 4096):
-            lanes = order[lo : lo + 4096]
-            steps = int(lens[lanes].max())
-            grid = np.full((len(lanes), steps), self.width - 1, np.uint8)
-            for row, p in enumerate(lanes.tolist()):
-                grid[row, : len(pieces[p])] = pieces[p]
-            grid = np.ascontiguousarray(grid.T)
-            state = np.repeat(self.roots[:, None], len(lanes), axis=1)
-            count = np.zeros(state.shape, np.int32)
-            for t in range(steps):
-                move = self.table[state + grid[t][None, :]]
-                count += move & 3
-                state = move >> 2
-            count += state != self.roots[:, None]  # the phrase at the end
-            np.add.at(out, np.array(owner)[lanes], count.T)
+        out, k = np.zeros((len(texts), len(self.roots)), np.int64), len(self.roots)
+        # texts of about one length stand together; a text's pieces follow each other
+        cut = [(i, at) for i in np.argsort(chars, kind="stable").tolist() for at in range(0, len(coded[i]), PIECE)]
+        step = max(16, REMEMBERED // (PIECE * k))
+        entry = self.roots[:, 0].copy()
+        for lo in range(0, len(cut), step):
+            part = cut[lo : lo + step]
+            joined = np.array([at > 0 for _, at in part])
+            counts, ends = self._block([coded[i][at : at + PIECE] for i, at in part], joined, entry)
+            np.add.at(out, np.array([i for i, _ in part]), counts)
+            # a phrase is open at the end of a text unless it just ended
+            last = np.array([at + PIECE >= len(coded[i]) for i, at in part])
+            np.add.at(out, np.array([i for i, _ in part])[last], (ends != self.roots).T[last].astype(np.int64))
+            entry = ends[:, -1]
         return out, chars
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -212,8 +306,6 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return train(samples)
 
 
-
-
 def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score (or other names).
 
