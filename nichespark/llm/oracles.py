@@ -87,9 +87,12 @@ s AS (SELECT a.vec_id query_id, b.vec_id, CAST(list_sum(list_transform(range(1,
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10"""
 
-OP8 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) d FROM pages),
+#: URL keys as the pages' URLs need them: no ports, users or other schemes.
+OP8 = r"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) d, regexp_replace(lower(coalesce(url, '')), '^https?://(www[0-9]*[.])?', '') u FROM pages),
+k AS (SELECT *, CASE WHEN u = '' THEN '' ELSE array_to_string(list_reverse(string_split(regexp_extract(u, '^[^/?#]*'), '.')), ',') || ')' || regexp_replace(regexp_replace(regexp_replace(u, '^[^/?#]*', ''), '#.*$', ''), '^($|[?])', '/\1') END url_key FROM p),
 c AS (SELECT d, n, max(page_id) m FROM p WHERE n >= 1000 GROUP BY ALL HAVING count(*) > 1)
-SELECT page_id, CAST(p.n AS BIGINT) payload_bytes, p.d payload_digest, CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END record_type,
-  CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN m END refers_to FROM p LEFT JOIN c ON p.d = c.d AND p.n = c.n"""
+SELECT page_id, CAST(k.n AS BIGINT) payload_bytes, k.d payload_digest, CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END record_type,
+  CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN m END refers_to, url_key,
+  row_number() OVER (ORDER BY url_key, coalesce(page_id, 0) % 1000000000, page_id NULLS FIRST) - 1 AS place FROM k LEFT JOIN c ON k.d = c.d AND k.n = c.n"""
 
 ORACLES: dict[str, str] = {"op1_sharding": OP1, "op3_mixing": OP3, "op4_quality": _op4(), "op6_topk": OP6, "op8_warc": OP8}

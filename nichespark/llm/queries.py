@@ -64,10 +64,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nichespark.llm.warc import capture_history, read_archives, write_archives
 
-    pages = _table(spark, sf_dir, "pages").withColumn("fetched", F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + F.lit(1_700_000_000)))
+    # made-up times, of the same century for any page_id
+    pages = _table(spark, sf_dir, "pages").withColumn("fetched", F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000)) + F.lit(1_000_000_000)))
     archives = write_archives(pages)
     history = capture_history(read_archives(spark, archives))
-    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,7 +333,8 @@ def pages(spark):
 
 
 def test_warc(spark, monkeypatch):
-    monkeypatch.setattr(warc, "MEMBER", 1 << 16)
+    for name, value in (("CHUNK", 1 << 12), ("CHUNKS", 2), ("RANGE", 2)):
+        monkeypatch.setattr(warc, name, value)
     rows, df = pages(spark)
     folder = warc.write_archives(df.repartition(3))
     read = warc.read_archives(spark, folder, with_payload=True).collect()
@@ -350,11 +351,45 @@ def test_warc(spark, monkeypatch):
         return p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None
 
     assert got == Counter(want(p, h) for p, _, h in rows)
-    merged = warc.capture_history(warc.read_archives(spark, folder)).orderBy("merge_part", "merge_place").collect()
-    assert len(merged) == len(rows) and [(r["url_key"].encode(), r["fetched"]) for r in merged] == sorted((r["url_key"].encode(), r["fetched"]) for r in merged)
+    merged = warc.capture_history(warc.read_archives(spark, folder)).orderBy("place").collect()
+    assert [r["place"] for r in merged] == list(range(len(rows))) and [(r["url_key"].encode(), r["fetched"]) for r in merged] == sorted((r["url_key"].encode(), r["fetched"]) for r in merged)
     assert warc.capture_history(warc.read_archives(spark, warc.write_archives(df.where("false")))).count() == 0
 
 
+def test_warc_odd_times_and_a_hot_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST", 3)
+    a, b = "x" * 1500, "y" * 1500
+    rows = [(i, f"http://a.org/{i}", a, i * 10**12) for i in range(-9, 9)] + [(2**62, "http://b.org", b, -(10**12)), (100, "http://b.org", b, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, s long").withColumn("fetched", F.timestamp_seconds("s"))
+    got = {r["page_id"]: r for r in warc.capture_history(warc.read_archives(spark, warc.write_archives(df))).collect()}
+    assert len(got) == len(rows)
+    assert all((r["record_type"], r["refers_to"]) == (("response", None) if p in (8, 2**62) else ("revisit", 8 if p < 50 else 2**62)) for p, r in got.items())
+    assert got[1]["fetched"] == warc.LAST and got[-1]["fetched"] == warc.FIRST and got[0]["fetched"] == 0
+    # the query's times hold for any id
+    from nichespark.llm import queries
+
+    df.select("page_id", "url", "html").write.parquet(path := warc.new_path(spark, "pages") + "/pages.parquet")
+    assert queries.op8_warc(spark, path.removesuffix("/pages.parquet")).count() == len(rows)
+
+
+def test_records_of_any_length_are_one_member():
+    import gzip
+
+    big = warc.pack(warc.make_record(1, "http://a", 5, b"z" * (17 << 20), hashlib.sha1(b"z" * (17 << 20)).hexdigest(), None))
+    small = warc.pack(warc.make_record(2, "http://b", 5, b"hello", hashlib.sha1(b"hello").hexdigest(), None))
+    assert big[-1] == 1 and small[-1] == 0
+    data = b"".join(c + b"\0" for c in warc.chunks(iter([small, big, big, small])))
+    found = list(warc.records(data))
+    assert [h["WARC-Type"] for *_, h, _ in found if h["WARC-Type"] != "warcinfo"] == ["response"] * 4
+    # another reader sees the same bytes, and every record begins where the index says
+    assert all(gzip.decompress(data[o : o + n]).startswith(b"WARC/1.1") for o, n, *_ in found)
+
+
+def test_natural_runs():
+    entries = [(i, "", str(k), 0, "", 0, "", None, "f", i, 0) for i, k in enumerate([1, 3, 5, 2, 4, 4, 0])]
+    assert [len(r) for r in warc.natural_runs(iter(entries))] == [3, 3, 1] and list(warc.natural_runs(iter([]))) == []
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 5, 8, 13):
