@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import heapq
 import re
 from collections.abc import Iterator
@@ -15,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nichespark.llm.tokenfile import no_cycles
+
 #: White space as the pre-tokenizer's \s has it (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Parts that the pre-tokenizer's pattern never joins: it attaches one space to what follows, and
@@ -73,13 +74,19 @@ class Bpe:
     """Encoder and decoder of one rank file (lines of base64 token and rank)."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
+        import public_tokenizers
+
         pairs = [line.split() for line in ranks_file.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(t): int(r) for t, r in pairs}
         self.token = tokens(ranks_file)
-        self.byte_id = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
+            raise ValueError(f"bytes without a rank: {missing}")
+        self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         found = [(a, b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         self.pair = PairTable(*np.array(found, np.int64).reshape(-1, 3).T)
         self.pattern = regex.compile(pattern)
+        # the coarse cut holds for the usual pattern; by another one whole texts are split
+        self.coarse = pattern == public_tokenizers.PATTERN
         # ids as little-endian 32-bit integers
         self.pieces: dict[bytes, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -164,7 +171,7 @@ class Bpe:
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers: each chunk that is new is split by the pattern, each piece that is new is merged."""
-        parts = [COARSE.findall(t) for t in texts]
+        parts = [COARSE.findall(t) for t in texts] if self.coarse else [[t] if t else [] for t in texts]
         if len(self.chunks) >= REMEMBERED:
             self.chunks = {}
         if len(self.pieces) >= REMEMBERED_PIECES:
@@ -210,14 +217,15 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        gc.disable()  # no cycles are made here, and passes over the remembered chunks would cost much
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                ids = codec.encode_raw([t or "" for t in b.column(at).to_pylist()])
-                ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*b.schema.names, "ids"])
+        # passes over the remembered chunks would cost much
+        with no_cycles():
+            for whole in batches:
+                for i in range(0, whole.num_rows, 512):
+                    b = whole.slice(i, 512)
+                    ids = codec.encode_raw([t or "" for t in b.column(at).to_pylist()])
+                    ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*b.schema.names, "ids"])
 
     return rows.mapInArrow(run, f"{kinds}, ids array<int>")
 

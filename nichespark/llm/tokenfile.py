@@ -22,6 +22,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -37,10 +38,10 @@ MAGIC = 0x8F92EAB1
 SKIP_PAD, SKIP_DIRECTORY, SKIP_TABLE = 0x184D2A50, 0x184D2A5D, 0x184D2A5E
 PAD = struct.pack("<II", SKIP_PAD, 1) + b"\n"
 ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("docs", "<u4"), ("check", "<u4")])
-#: A frame ends with the document that brings it to so many ids.
-FRAME_IDS = 1 << 16
-#: Parts of texts that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: A frame ends with the document that brings it to so many ids, a file after so many frames.
+FRAME_IDS, FRAMES = 1 << 16, 255
+#: Chunks and pieces that a worker remembers before it starts afresh.
+REMEMBERED = 500_000
 #: The tokenizer's way of splitting. Texts of these characters lower-case and compose alike
 #: everywhere, and PIECES cuts them in the same way.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -51,8 +52,9 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xdf-\\xf6\\xf8-\\xff]+|[0-9]|
 class Encoder:
     """Ids of whole texts by the tokenizers library; parts already seen are looked up.
 
-    Texts of plain characters are cut into the pieces that the tokenizer's pattern makes, others
-    at spaces and line ends, which the pattern never joins to what stands beside them. Memory for what was seen is bounded.
+    Texts are cut into chunks at spaces and line ends, which the tokenizer's pattern never joins to what
+    stands beside them. A new chunk of plain characters is cut into the pieces that the pattern makes, as
+    these are fewer; new pieces, and new chunks of other texts, go to the library. Memory for what was seen is bounded.
     """
 
     def __init__(self, data: bytes):
@@ -65,7 +67,8 @@ class Encoder:
         steps = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.shortcut = steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [SPLIT]
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added, self.marks = re.compile("|".join(map(re.escape, added)) or "(?!)"), {x[:1] for x in added}
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {}
 
@@ -77,14 +80,34 @@ class Encoder:
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as machine integers of two or four bytes (see code)."""
-        plain = [self.shortcut and PLAIN.fullmatch(t) is not None and not self.added.search(t) for t in texts]
-        parts = [PIECES.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
         if len(self.known) >= REMEMBERED:
             self.known = {}
-        # pieces and chunks share a table: a piece is a chunk that has nothing to cut
-        fresh = list(set().union(*parts).difference(self.known))
-        self.known.update(zip(fresh, self._library(fresh), strict=True))
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        known, parts, plain, other = self.known, [], set(), set()
+        for t in texts:
+            if self.shortcut and PLAIN.fullmatch(t) and not (any(m in t for m in self.marks) and self.added.search(t)):
+                parts.append(t.lower().split())
+                plain.update(parts[-1])
+            else:
+                parts.append(t.replace("\n", " ").split(" "))
+                other.update(parts[-1])
+        cut = {c: PIECES.findall(c) for c in plain.difference(known)}
+        fresh = list(other.union(*cut.values()).difference(known))
+        known.update(zip(fresh, self._library(fresh), strict=True))
+        for c, pieces in cut.items():
+            known[c] = b"".join(map(known.__getitem__, pieces))
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without passes of the collector over what is remembered, where no cycles are made; as before at the end."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 @lru_cache(maxsize=1)
@@ -95,8 +118,8 @@ def _encoder(data: bytes) -> Encoder:
 class FileWriter:
     """Packs documents into frames, and makes the end of the file."""
 
-    def __init__(self, width: int):
-        self.width, self.held, self.held_ids = width, [], 0
+    def __init__(self, width: int, frame_ids: int = FRAME_IDS):
+        self.width, self.frame_ids, self.held, self.held_ids = width, frame_ids, [], 0
         self.table: list[tuple[int, int, int, int]] = []
         self.ids: list[int | None] = []
         self.counts: list[int] = []
@@ -108,7 +131,7 @@ class FileWriter:
         self.counts.append(len(ids) // self.width)
         self.held.append(ids)
         self.held_ids += self.counts[-1]
-        return self._frame() if self.held_ids >= FRAME_IDS else None
+        return self._frame() if self.held_ids >= self.frame_ids else None
 
     def _frame(self) -> bytes:
         raw = b"".join(self.held)
@@ -167,12 +190,13 @@ class FileReader:
                 yield p, ids[stop - int(self.counts[p]) : stop]
 
 
-def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1) -> str:
+def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1, frame_ids: int = FRAME_IDS, frames: int = FRAMES) -> str:
     """Write the ids of all documents in ascending order of id_col (nulls first; equal ids by a hash of the text); the folder.
 
     Each whole text (null: empty) is encoded without added special tokens and end_id is appended.
-    Documents are range-partitioned by (id, hash), so files follow each other in the order of
-    their numbers; files are in the shared folder. Repeated rows are written each; other columns
+    Documents are range-partitioned by (id, hash); a partition's files have `frames` frames each, of `frame_ids` ids or one longer document, so
+    their size does not depend on the number of partitions. The files follow each other in the order of
+    their names, in the shared folder. Repeated rows are written each; other columns
     are ignored; no rows leave a folder without documents. The vocabulary file is broadcast (of
     fixed size).
     """
@@ -188,53 +212,68 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoder(shared.value)
-        gc.disable()  # no cycles are made here
         width = array(encoder.code).itemsize
-        writer, end = FileWriter(width), end_id.to_bytes(width, "little")
+        writer, end = FileWriter(width, frame_ids), end_id.to_bytes(width, "little")
         emit = lambda parts: pa.RecordBatch.from_arrays([pa.array([(p + PAD)[:-1] for p in parts], pa.binary())], names=["value"])
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                done = [x for d, ids in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True) if (x := writer.add(d, ids + end))]
-                if done:
-                    yield emit(done)
-        if writer.ids:
-            yield emit(writer.end())
+        with no_cycles():
+            for whole in batches:
+                for i in range(0, whole.num_rows, 512):
+                    b = whole.slice(i, 512)
+                    for d, ids in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True):
+                        if frame := writer.add(d, ids + end):
+                            yield emit([frame])
+                        if len(writer.table) == frames:
+                            yield emit(writer.end())
+                            writer = FileWriter(width, frame_ids)
+            if writer.ids:
+                yield emit(writer.end())
 
     folder = new_path(spark, "tokens")
     # the hash deals out rows that repeat an id; a text as key would come to the driver in the splitters' sample
     ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(folder)
+    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", frames + 1).text(folder)
     return folder
 
 
-def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False, only: list[int] | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, in the files' order; ids too if asked for.
 
     start: ids of all documents before it, over all files. ids_crc32: of the ids as little-endian
-    unsigned 32-bit integers. Every frame's checksum is verified; a damaged or cut-off file raises.
+    unsigned 32-bit integers. With `only`, just the documents of these ids are given, and no other frame is
+    decompressed than theirs. The checksum of every frame that is read is verified; a damaged or cut-off file raises.
     """
-    kinds = "part int, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kinds = "part int, file int, doc_id long, place long, n_tokens long, ids_crc32 long, total long" + ", ids array<int>" * with_ids
+    names = ["part", "file", "doc_id", "place", "n_tokens", "ids_crc32", "total"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for part, file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 reader = FileReader(data.as_py())
-                n = len(reader.counts)
-                crc, ids = np.zeros(n, np.int64), []
-                for p, x in reader.documents():
-                    crc[p] = zlib.crc32(x.astype("<u4").tobytes())
-                    if with_ids:
-                        ids.append(x.astype(np.int32))
-                place = np.cumsum(reader.counts) - reader.counts
-                out = [pa.array(np.full(n, part), pa.int32()), pa.array(reader.doc_ids, pa.int64(), mask=reader.nulls), pa.array(place), pa.array(reader.counts), pa.array(crc)]
-                names = ["part", "doc_id", "place", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out, names=[*names, "ids"] if with_ids else names)
-
-    part = F.regexp_extract("path", r"part-(\d+)-", 1).cast("int")
-    files = spark.read.format("binaryFile").load(folder).where("length > 0").select(part.alias("part"), "content")
+                counts = reader.counts
+                ahead, total = np.cumsum(counts) - counts, int(counts.sum())
+                wanted = np.arange(len(counts)) if only is None else np.flatnonzero(np.isin(reader.doc_ids, only) & ~reader.nulls)
+                # one row without a document tells the file's total
+                yield _rows(names, with_ids, [(part, file, None, -1, 0, 0, total, [])])
+                rows, held = [], 0
+                for p, x in reader.documents(wanted):
+                    rows.append((part, file, None if reader.nulls[p] else int(reader.doc_ids[p]), int(ahead[p]), len(x), zlib.crc32(x.astype("<u4").tobytes()), total, x.astype(np.int32) if with_ids else None))
+                    held += len(x)
+                    if len(rows) == 4096 or with_ids and held > 1 << 22:
+                        yield _rows(names, with_ids, rows)
+                        rows, held = [], 0
+                if rows:
+                    yield _rows(names, with_ids, rows)
+
+    part, file = (F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)", i).cast("int").alias(n) for i, n in ((1, "part"), (2, "file")))
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select(part, file, "content")
     rows = settle(files.mapInArrow(run, kinds))
     # one row a file
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("ahead"))
-    return rows.join(before, "part").withColumn("start", F.col("ahead") + F.col("place")).drop("ahead", "place", "part")
+    totals = rows.where("place = -1").select("part", "file", "total")
+    before = totals.select("part", "file", (F.sum("total").over(Window.orderBy("part", "file")) - F.col("total")).alias("ahead"))
+    found = rows.where("place >= 0").join(before, ["part", "file"])
+    return found.withColumn("start", F.col("ahead") + F.col("place")).drop("ahead", "place", "part", "file", "total")
+
+
+def _rows(names: list[str], with_ids: bool, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, *([pa.list_(pa.int32())] if with_ids else [])]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[*names, "ids"] if with_ids else names)
