@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: A block ends at so many documents or characters.
 BLOCK_DOCS, BLOCK_CHARS = 4096, 1 << 24
+#: Bytes of texts for each bucket; a bucket's messages are about two thirds of that.
+BUCKET_BYTES = 1 << 26
 RUNS = re.compile(" ( *[^ ]*)")
 
 
@@ -84,8 +86,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     occurrence of its pre-tokens: it counts the pieces of each distinct one once, joins them to
     the frequencies and sums by document; the sums of all buckets are added per block. No ids of
     a document are made. A frequent word comes to its bucket once per block, so there is no hot
-    key. buckets: by default one for 8 blocks or so, 96 at least, so that a bucket stays at
-    some MB for any input.
+    key. buckets: by default one for each BUCKET_BYTES of texts, 96 at least. Each is a partition of its
+    own, so tasks stay at some 50 MB for any input.
 
     The model file is read on the driver and broadcast (its size doesn't depend on the data).
     Null and empty texts have 0 bytes and tokens. Repeated rows, null ids and other columns are
@@ -100,7 +102,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast(proto)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     id_kind = rows.schema["id"].dataType.simpleString()
-    n_buckets = buckets or max(96, docs.count() // (8 * BLOCK_DOCS) + 1)
+    n_buckets = buckets or max(96, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, part = 0, TaskContext.get().partitionId()
@@ -168,5 +170,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             total[: len(s)] += s
         return pd.DataFrame({id_col: head.column("id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get), "n_bytes": head.column("n").to_numpy(), "n_tokens": total})
 
-    sums = rows.mapInArrow(emit, "bucket int, block long, is_head boolean, packed binary").groupBy("bucket").applyInPandas(join, "block long, is_head boolean, packed binary")
+    sums = rows.mapInArrow(emit, "bucket int, block long, is_head boolean, packed binary").repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(join, "block long, is_head boolean, packed binary")
     return sums.groupBy("block").applyInPandas(add, f"`{id_col}` {id_kind}, n_bytes long, n_tokens long")
