@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nichespark.llm.prefix import range_order
-from nichespark.runtime import settle, settle_table
+from nichespark.runtime import fresh_name, settle, settle_table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Sources come to the driver as one row each; more than this is an error, not a cut.
@@ -87,9 +87,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     The documents are written once to the shared folder with a row id, so that counts and texts
     meet by that id, and repeated or null doc_ids are no trouble.
     """
-    row = "mix_row"
-    while row in docs.columns:
-        row += "_"
+    row, copies = fresh_name(docs.columns, "mix_row"), fresh_name(docs.columns, "mix_copies")
     stored = settle_table(docs.withColumn(row, F.monotonically_increasing_id()))
-    counted = mix_counts(stored, keep=(row,), **options).where("copies > 0").select(row, F.col("copies").cast("int").alias("mix_copies"))
-    return stored.join(counted, row).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("mix_copies"))).alias(row)).drop(row)
+    counted = mix_counts(stored, keep=(row,), **options).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
+    return stored.join(counted, row).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(copies))).alias(row)).drop(row)

@@ -6,7 +6,9 @@ counts for each range.
 
 from __future__ import annotations
 
+import bisect
 import json
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,11 +19,12 @@ LOWEST = -(1 << 63)
 
 @dataclass(frozen=True)
 class Order:
-    """rows: the input with range_id, rank (from 0) and before (sum of the weights ahead); totals."""
+    """rows: the input with range_id, rank (from 0) and before (sum of the weights ahead); totals; first keys that ranges may cut."""
 
     rows: DataFrame
     n_rows: int
     weight: int
+    hot: tuple[int, ...] = ()
 
 
 def _constant(value: list, kind: str) -> Column:
@@ -73,10 +76,11 @@ def range_order(df: DataFrame, keys: list[str], weight: str, min_ranges: int = 1
     Each row enters the sample with a chance in proportion to its weight (decided by a hash of its
     key, so that reruns and retried tasks agree); about `draws` samples stand for each range.
     Every draws-th sample is a splitter. Ranges that turn out to hold over twice their share of
-    rows or weight are subdivided at the samples inside them. At most max_ranges * draws samples
+    rows or weight are subdivided at the samples inside them, at every second of those left each time, until none
+    is overfull or no sample is left in it. At most max_ranges * draws samples
     come to the driver (65,536 by default), whatever the input. With keep_groups a splitter is
-    moved ahead of all rows with the same first key, but where one first key spans several
-    splitters, so that only such hot groups are cut. df is read several times: cut its lineage
+    moved ahead of all rows with the same first key, unless that key has twice the sample of a range or more:
+    only such hot groups are cut. df is read several times: cut its lineage
     first. An empty df gives no rows and totals 0.
     """
     total = df.agg(F.count("*"), F.sum(weight)).first()
@@ -88,29 +92,27 @@ def range_order(df: DataFrame, keys: list[str], weight: str, min_ranges: int = 1
     hashed = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
     sample = sorted(tuple(r) for r in df.where(hashed < chance).select(*keys).collect())
 
-    def cut(at: list[int]) -> list[tuple[int, ...]]:
-        picked = sorted({sample[i] for i in at})
-        if not keep_groups:
-            return picked
-        seen = [s[0] for s in picked]
-        hot = {a for a, b in zip(seen, seen[1:], strict=False) if a == b}
-        low = tuple([LOWEST] * (len(keys) - 1))
-        return sorted({s if s[0] in hot else (s[0], *low) for s in picked} | {(h, *low) for h in hot})
+    drawn = Counter(x[0] for x in sample)
+    hot = {k for k, c in drawn.items() if c >= 2 * draws} if keep_groups else set()
+    low = tuple([LOWEST] * (len(keys) - 1))
 
-    at = list(range(draws, len(sample), draws))
-    splitters = cut(at)
+    def cut(at: set[int]) -> list[tuple[int, ...]]:
+        picked = {sample[i] for i in at}
+        if not keep_groups:
+            return sorted(picked)
+        return sorted({x if x[0] in hot else (x[0], *low) for x in picked} | {(x[0], *low) for x in picked})
 
     def held(splitters: list[tuple[int, ...]]) -> dict[int, tuple[int, int]]:
         rows = df.groupBy(_range_of(keys, splitters).alias("r")).agg(F.count("*").alias("n"), F.sum(weight).alias("w")).collect()
         return {r["r"]: (r["n"], r["w"]) for r in rows}
 
+    at, step = set(range(draws, len(sample), draws)), draws
+    splitters = cut(at)
     sizes = held(splitters)
-    over = {r for r, (a, b) in sizes.items() if a > 2 * n / ranges or b > 2 * w / ranges}
-    if over:
-        import bisect
-
-        more = [i for i, s in enumerate(sample) if bisect.bisect_right(splitters, s) in over and i % 2 == 0]
-        finer = cut(sorted({*at, *more}))
+    while step > 1 and (over := {r for r, (a, b) in sizes.items() if a > 2 * n / ranges or b > 2 * w / ranges}):
+        step //= 2
+        at |= {i for i in range(0, len(sample), step) if bisect.bisect_right(splitters, sample[i]) in over}
+        finer = cut(at)
         if finer != splitters:
             splitters, sizes = finer, held(finer)
     rows_before, weight_before, a, b = [], [], 0, 0
@@ -124,4 +126,4 @@ def range_order(df: DataFrame, keys: list[str], weight: str, min_ranges: int = 1
         .withColumn("rank", F.row_number().over(in_range).cast("long") - 1 + F.get(_constant(rows_before, "array<bigint>"), F.col("range_id")))
         .withColumn("before", F.sum(weight).over(in_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) + F.get(_constant(weight_before, "array<bigint>"), F.col("range_id")))
     )
-    return Order(rows, n, w)
+    return Order(rows, n, w, tuple(sorted(hot)))

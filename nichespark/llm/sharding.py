@@ -18,7 +18,8 @@ def assign_shards(records: DataFrame, n_shards: int, id_col: str = "doc_id", tex
     proportion to size; records are range-partitioned by them, overfull ranges are subdivided, and
     prefix sums over the ranges give every record its exact byte offset in the order. Shard s takes
     the offsets from s/n to (s+1)/n of all bytes. Records with equal text are moved as one if
-    together they are at most whole_group_share of a shard; larger groups are divided.
+    together they are at most whole_group_share of a shard; larger groups are divided. (Texts that share
+    a CRC count as equal for that.)
 
     Result: id_col, size (UTF-8 bytes plus overhead; null text counts no bytes), text_crc32
     (unsigned; a null text has that of the empty one, 0), shard, slot (position in the shard, from
@@ -36,7 +37,9 @@ def assign_shards(records: DataFrame, n_shards: int, id_col: str = "doc_id", tex
     order = range_order(narrow, ["crc", "order_id", "uid"], "size", min_ranges=max(192, 16 * n_shards), keep_groups=True)
     group = Window.partitionBy("range_id", "crc")
     share = max(1, order.weight)
-    start = F.when(F.sum("size").over(group) <= whole_group_share * share / n_shards, F.min("before").over(group)).otherwise(F.col("before"))
+    # ranges cut none but hot groups, which are far above the share
+    whole = (F.sum("size").over(group) <= whole_group_share * share / n_shards) & ~F.array_contains(_constant(list(order.hot), "array<bigint>"), F.col("crc"))
+    start = F.when(whole, F.min("before").over(group)).otherwise(F.col("before"))
     placed = order.rows.withColumn("start", start).withColumn("shard", F.least(F.expr(f"start * {n_shards} div {share}"), F.lit(n_shards - 1)).cast("int"))
     placed = settle(placed.select("id", "size", "crc", "shard", "rank"))
     first = {r["shard"]: r["first"] for r in placed.groupBy("shard").agg(F.min("rank").alias("first")).collect()}
