@@ -20,9 +20,10 @@ from nichespark.runtime import fresh_name, join_counted, settle, settle_table
 #: differs with a chance of 0.15, two texts of that similarity collide with a chance of 0.998, at 0.85 with 0.99998; a bit of
 #: texts of a few shingles differs with a chance of up to 0.19, which makes it 0.92.
 TABLES, BITS, HALF = 48, 32, 1
-#: Colliding pairs that differ in more than so many of 64 other bits are given up, and so are those that differ in more than so
-#: many of all 1,600: 4 standard deviations above the mean at 0.8 (the last: of sets of under SMALL shingles).
-FAR, FAR_OF_ALL, FAR_OF_SMALL, SMALL = 21, 300, 367, 40
+#: Colliding pairs that differ in more than so many of 64 other bits are given up (4 standard deviations above the mean at 0.8); pairs
+#: within crowds too, if they differ in more than so many of all 1,600 (3 of them: a loss of 0.0013 at 0.8 and of less above it; the
+#: last is for sets of under SMALL shingles).
+FAR, FAR_OF_ALL, FAR_OF_SMALL, SMALL = 21, 285, 351, 40
 #: Shingles whose bits are counted at once; a count fits into a byte.
 BLOCK = 255
 #: A variant of more nodes is gone through a second time, when most of them are known to be connected.
@@ -117,6 +118,22 @@ def _variants(ball: Ball, v: np.ndarray, bucket: int) -> Iterator[tuple[np.ndarr
         yield place[np.repeat(kept, of)], of[kept]
 
 
+def _clusters(place: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, by the clusters that shared variants make of them, and how many each cluster has."""
+    members, at = np.unique(place, return_inverse=True)
+    starts, run = np.cumsum(of) - of, np.repeat(np.arange(len(of)), of)
+    label = np.arange(len(members))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, at, np.minimum.reduceat(label[at], starts)[run])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    return members[order], np.unique(label, return_counts=True)[1]
+
+
 def _centres(look: np.ndarray, of: np.ndarray) -> np.ndarray:
     """For each run of `of` members the place of the one that is nearest to the majority of their bits."""
     starts = np.cumsum(of) - of
@@ -126,13 +143,13 @@ def _centres(look: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.lexsort((np.bitwise_count(look ^ middle[run]), run))[starts]
 
 
-def first_pairs(entry: np.ndarray, ball: Ball, bucket: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of places in one table's bucket that may be similar, and the places of crowds.
+def first_pairs(entry: np.ndarray, ball: Ball, bucket: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in one table's bucket that may be similar, whether they are a crowd's, and the places of crowds.
 
-    Variants of up to CROWD members give all their pairs; larger ones the pairs of their most central
-    member, thinned to a spanning forest.
+    Variants of up to CROWD members give all their pairs, but those within a crowd. Larger ones are joined to crowds
+    by the members that they share; the most central member of a crowd makes a pair with each other one.
     """
-    one, two, star, ray, crowd = ([np.zeros(0, np.int64)] for _ in range(5))
+    one, two, many, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for place, of in _variants(ball, entry["print"].astype(np.uint64), bucket):
         size = np.repeat(of, of)
         few, run = place[size <= CROWD], np.repeat(np.arange(len(of)), of)[size <= CROWD]
@@ -140,21 +157,27 @@ def first_pairs(entry: np.ndarray, ball: Ball, bucket: int, percent: int) -> tup
             same = run[d:] == run[:-d]
             one.append(few[:-d][same])
             two.append(few[d:][same])
-        many, of = place[size > CROWD], of[of > CROWD]
-        if len(many):
-            crowd.append(many)
-            star.append(np.repeat(many[_centres(entry["look"][many], of)], of))
-            ray.append(many)
+        many.append(place[size > CROWD])
+        sizes.append(of[of > CROWD])
 
     def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (x != y) & (np.bitwise_count(entry["look"][x] ^ entry["look"][y]) <= FAR) & _sizes_fit(entry["n"][x], entry["n"][y], percent)
         pairs = np.unique(np.stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]]), axis=1)
         return pairs[0], pairs[1]
 
-    x, y = near(np.concatenate(one), np.concatenate(two))
-    u, w = near(np.concatenate(star), np.concatenate(ray))
-    some = spanning(u, w)
-    return np.append(x, u[some]), np.append(y, w[some]), np.unique(np.concatenate(crowd))
+    place, of = np.concatenate(many), np.concatenate(sizes)
+    x, y, crowd = np.concatenate(one), np.concatenate(two), place
+    if len(of):
+        crowd, of = _clusters(place, of)
+        in_crowd = np.zeros(len(entry), bool)
+        in_crowd[crowd] = True
+        apart = ~(in_crowd[x] & in_crowd[y])
+        x, y = x[apart], y[apart]
+        u, w = near(np.repeat(crowd[_centres(entry["look"][crowd], of)], of), crowd)
+    else:
+        u = w = crowd
+    x, y = near(x, y)
+    return np.append(x, u), np.append(y, w), np.arange(len(x) + len(u)) >= len(x), crowd
 
 
 def second_pairs(entry: np.ndarray, ball: Ball, table: int, bucket: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +208,7 @@ def second_pairs(entry: np.ndarray, ball: Ball, table: int, bucket: int, percent
 
 
 def _dealt(nodes: DataFrame, n_nodes: int, kind: np.dtype, columns: list[str], groups: int | None, meet) -> DataFrame:
-    """Nodes dealt into the buckets of all tables as entries of a kind; meet(entries, ball, table, bucket) gives columns a, b there.
+    """Nodes dealt into the buckets of all tables as entries of a kind; meet(entries, ball, table, bucket) gives columns a, b, central there.
 
     A table's fingerprints are dealt by simhash.Ball; every bucket makes the variants that belong there.
     """
@@ -219,27 +242,32 @@ def _dealt(nodes: DataFrame, n_nodes: int, kind: np.dtype, columns: list[str], g
         at = int(pdf["bucket"].iloc[0])
         entry = np.frombuffer(b"".join(pdf["packed"]), kind)
         entry = entry[np.argsort(entry["node"])]
-        a, b = meet(entry, Ball(BITS, HALF, groups), at >> 32, at & 0xFFFFFFFF)
+        a, b, central = meet(entry, Ball(BITS, HALF, groups), at >> 32, at & 0xFFFFFFFF)
         mask = b < 0
-        return pd.DataFrame({"a": entry["node"][a], "b": pd.arrays.IntegerArray(entry["node"][np.where(mask, 0, b)] if len(b) else np.zeros(0, np.int64), mask)})
+        return pd.DataFrame({"a": entry["node"][a], "b": pd.arrays.IntegerArray(entry["node"][np.where(mask, 0, b)] if len(b) else np.zeros(0, np.int64), mask), "central": central})
 
     packed = nodes.where(F.length("prints") > 0).select("prints", *columns).coalesce(max(8, n_nodes >> 16)).mapInArrow(emit, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInPandas(run, "a long, b long")
+    return packed.repartition(TABLES << groups, "bucket").groupBy("bucket").applyInPandas(run, "a long, b long, central boolean")
 
 
 def first_pass(nodes: DataFrame, n_nodes: int, percent: int, groups: int | None = None) -> DataFrame:
-    """a, b: pairs of nodes of all tables' first_pairs; with b null: nodes of crowds. nodes: node, n, prints."""
+    """a, b, central: pairs of nodes of all tables' first_pairs; with b null: nodes of crowds. nodes: node, n, prints."""
 
-    def meet(entry: np.ndarray, ball: Ball, table: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b, crowd = first_pairs(entry, ball, bucket, percent)
-        return np.append(a, crowd), np.append(b, np.full(len(crowd), -1))
+    def meet(entry: np.ndarray, ball: Ball, table: int, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, central, crowd = first_pairs(entry, ball, bucket, percent)
+        return np.append(a, crowd), np.append(b, np.full(len(crowd), -1)), np.append(central, np.zeros(len(crowd), bool))
 
     return _dealt(nodes, n_nodes, ENTRY, ["node", "n"], groups, meet)
 
 
 def second_pass(nodes: DataFrame, n_nodes: int, percent: int, groups: int | None = None) -> DataFrame:
     """a, b: pairs of nodes of all tables' second_pairs. nodes: node, label, n, prints."""
-    return _dealt(nodes, n_nodes, WHOLE, ["node", "label", "n"], groups, lambda entry, ball, table, bucket: second_pairs(entry, ball, table, bucket, percent))
+
+    def meet(entry: np.ndarray, ball: Ball, table: int, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = second_pairs(entry, ball, table, bucket, percent)
+        return a, b, np.zeros(len(a), bool)
+
+    return _dealt(nodes, n_nodes, WHOLE, ["node", "label", "n"], groups, meet).select("a", "b")
 
 
 def _verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -288,11 +316,14 @@ def near_copy_links(nodes: DataFrame, n_nodes: int, texts: DataFrame, width: int
     """
     met = settle(first_pass(nodes, n_nodes, percent))
     rows, texts = nodes.select("node", "row"), texts.select("row", "t")
-    tried = settle(met.where("b is not null").distinct())
+    crowds = settle(met.where("b is null").select(F.col("a").alias("node")).distinct())
+    pairs = met.where("b is not null")
+    # of pairs within crowds, those with a central node only: the others are for the second pass
+    tried = settle(pairs.where("central").unionByName(pairs.join(crowds, pairs["a"] == crowds["node"], "left_anti")).unionByName(pairs.join(crowds, pairs["b"] == crowds["node"], "left_anti")).select("a", "b").distinct())
     if not (n_tried := tried.count()):
         return tried
     links = _verified(tried, n_tried, rows, texts, width, percent)
-    open_ = nodes.drop("row").join(met.where("b is null").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    open_ = nodes.drop("row").join(crowds, "node", "left_semi")
     labelled = settle(open_.join(_labels(links, n_tried), "node", "left").select("node", "n", "prints", F.coalesce("label", "node").alias("label")))
     if not (n_open := labelled.count()):
         return links

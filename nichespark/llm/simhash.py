@@ -181,7 +181,8 @@ def ball_links(prints: DataFrame, radius: int = 4, col: str = "simhash", groups:
     fingerprint travels once to each bucket that it has variants in, packed by blocks, and the
     bucket makes them (see Ball), so that the shuffle has 22 messages of 8 bytes for a fingerprint with 64
     buckets, 92 with 8,192. In a bucket all that share a variant are joined to the smallest of
-    them; these pairs are counted once, verified bit by bit, and thinned to a spanning forest.
+    them; these pairs are counted once, verified bit by bit, and thinned to a spanning forest. There are as
+    many partitions as buckets.
     As fingerprints are distinct, a variant has at most 2,081 of them, so no variant is hot.
     """
     if radius % 2 or radius < 0:
@@ -219,7 +220,7 @@ def ball_links(prints: DataFrame, radius: int = 4, col: str = "simhash", groups:
 
     # few rows to a task would make many small messages
     packed = prints.select(col).coalesce(max(8, n >> 16)).mapInArrow(emit, "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    return packed.repartition(1 << groups, "bucket").groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

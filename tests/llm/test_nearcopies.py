@@ -87,7 +87,7 @@ def test_pairs_of_both_passes_are_all_that_collide():
     near = np.bitwise_count(prints[:, None, :48] ^ prints[None, :, :48]) <= 2
     apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
     fit = np.array([[10 * min(len(a), len(b)) >= 8 * max(len(a), len(b)) for a in sets] for b in sets])
-    want = {(a, b) for a, b in zip(*np.nonzero(near.any(axis=2) & (apart <= 300) & fit), strict=True) if a < b and a // 3 != b // 3}
+    want = {(a, b) for a, b in zip(*np.nonzero(near.any(axis=2) & (apart <= nearcopies.FAR_OF_ALL) & fit), strict=True) if a < b and a // 3 != b // 3}
     for groups in (0, 3):
         found = []
         for t in range(48):

@@ -45,6 +45,21 @@ def test_shards_are_even_and_keep_groups(spark):
     assert got.sort_values("doc_id")["shard"].tolist() == again.sort_values("doc_id")["shard"].tolist()
 
 
+def test_small_groups_are_never_torn(spark):
+    """A range that a hot group overfills is subdivided until none is; groups of a few rows stay whole, hot ones are cut."""
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") / 12).cast("int").cast("string"))).alias("text"))
+    got = sharding.assign_shards(df, 6).toPandas()
+    hot = zlib.crc32(b"hot")
+    assert (got[got["text_crc32"] != hot].groupby("text_crc32")["shard"].nunique() == 1).all()
+    assert got[got["text_crc32"] == hot]["shard"].nunique() > 1
+    rows = df.select(F.crc32("text").alias("a"), F.col("doc_id").alias("b"), F.lit(10).cast("long").alias("w"))
+    order = prefix.range_order(rows, ["a", "b"], "w", min_ranges=96, keep_groups=True)
+    assert order.hot == (hot,)
+    sizes = order.rows.groupBy("range_id").count().toPandas()["count"]
+    assert sizes.max() <= 2 * 30_000 / 96
+    assert order.rows.where(F.col("a") != hot).groupBy("a").agg(F.countDistinct("range_id").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
 def test_range_order_is_exact(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(20), rng.randrange(-50, 50), i, rng.randrange(1, 90)) for i in range(3000)]
@@ -95,9 +110,8 @@ def test_simhash(odd, none, odd_rows):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("radius, groups", [(4, 6), (4, 13), (2, 0)])
-def test_ball_links_find_all_and_only(spark, radius, groups, monkeypatch):
-    monkeypatch.setattr(simhash, "PASS_VARIANTS", 2000)
+@pytest.mark.parametrize("radius, groups", [(4, 6), (4, 8), (2, 0)])
+def test_ball_links_find_all_and_only(spark, radius, groups):
     rng = random.Random(radius)
     prints = set()
     for _ in range(25):
@@ -124,6 +138,47 @@ def test_ball_links_find_all_and_only(spark, radius, groups, monkeypatch):
     assert {s: find(s) for s in signed} == {signed[i]: g for i, g in groups.items()}
 
 
+@pytest.mark.parametrize("groups", [0, 5, 13])
+def test_buckets_make_every_variant_once(monkeypatch, groups):
+    monkeypatch.setattr(simhash, "PASS_VARIANTS", 500)
+    monkeypatch.setattr(simhash, "BLOCK_VARIANTS", 64)
+    rng = np.random.default_rng(groups)
+    v = rng.integers(0, 1 << 32, 30, dtype=np.uint64)
+    v = np.concatenate([v, v ^ np.uint64(5), v[:9] ^ np.uint64(1 << 31)])
+    ball, want = simhash.Ball(32, 1, groups), defaultdict(set)
+    for i, x in enumerate(v.tolist()):
+        for m in (0, *(1 << j for j in range(32))):
+            want[x ^ m].add(i)
+    bucket, place = ball.addresses(v)
+    got = defaultdict(set)
+    for b in np.unique(bucket).tolist():
+        mine = place[bucket == b]
+        for key, at in ball.collisions(v[mine], b):
+            for k, i in zip(key.tolist(), mine[at].tolist()):
+                assert i not in got[k]
+                got[k].add(i)
+    assert {k: s for k, s in got.items()} == {k: s for k, s in want.items() if len(s) > 1}
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = rng.integers(0, 30, (2, rng.integers(0, 60)))
+        a, b = a[a != b], b[a != b]
+        some = simhash.spanning(a, b)
+        root = list(range(30))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in some.tolist():
+            assert find(a[i]) != find(b[i])  # no circle
+            root[find(a[i])] = find(b[i])
+        assert all(find(x) == find(y) for x, y in zip(a.tolist(), b.tolist()))
+
+
 def test_mixing(odd, none, odd_rows):
     got = mixing.mix_counts(odd).collect()
     sizes = Counter()
@@ -426,6 +481,20 @@ def test_token_files(spark, odd, none, odd_rows, word_bpe):
     assert tokenfile.read_token_files(spark, tokenfile.write_token_files(none)).count() == 0
 
 
+def test_token_files_of_a_few_frames(spark, word_bpe):
+    """Files are cut by frames whatever the partition holds, and only the frames of requested documents are read."""
+    rows = [(i, prose(i, 40 + i % 50)) for i in range(200)]
+    folder = tokenfile.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frame_ids=300, frames=2)
+    files = spark.read.format("binaryFile").load(folder).where("length > 0")
+    assert files.count() >= 20
+    got = {r["doc_id"]: r for r in tokenfile.read_token_files(spark, folder, with_ids=True).collect()}
+    ids = [word_bpe.encode(t, add_special_tokens=False).ids + [1] for _, t in rows]
+    assert [got[i]["ids"] for i in range(200)] == ids
+    assert [got[i]["start"] for i in range(200)] == [0, *np.cumsum([len(x) for x in ids])[:-1]]
+    some = {r["doc_id"]: r for r in tokenfile.read_token_files(spark, folder, with_ids=True, only=[7, 150]).collect()}
+    assert some == {i: got[i] for i in (7, 150)}
+
+
 def test_frames_are_independent():
     w, docs = tokenfile.FileWriter(2), [np.arange(i % 50000, dtype="<u2") for i in (5, 40_000, 0, 41_000, 7, 30_000)]
     parts = [x for i, d in enumerate(docs) if (x := w.add(i if i else None, d.tobytes()))]
