@@ -15,3 +15,13 @@ def need(df: DataFrame, *columns: str) -> None:
 def as_list(value) -> list | None:
     """A scalar string as a list of one; lists and None as they are."""
     return [value] if isinstance(value, str) else value
+
+
+def with_params(result: DataFrame, column: str = "enrichment", **params) -> DataFrame:
+    """The result with the parameters that made it in the metadata of a column, where they stay when it is written."""
+    return result.withMetadata(column, {"params": {k: v for k, v in params.items() if v is not None}})
+
+
+def params_of(result: DataFrame, column: str = "enrichment") -> dict:
+    """The parameters that a result was made with."""
+    return dict(result.schema[column].metadata.get("params", {}))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichespark.functions.aggregates import log_ratio
-from nichespark.functions.checks import need
+from nichespark.functions.checks import need, with_params
 from nichespark.operators.deal import deal, dealt_sums
 
 
@@ -47,4 +47,5 @@ def enrichment(cells: DataFrame, group_key: str, label_key: str, pvalues: bool =
         rows = per.select("g", "l", "o", (F.col("s") / n_perms).alias("e"), F.when(F.col("o") > 0, 1 - below.cast("double") / n_perms).otherwise(0.0).alias("p"))
     change = log_ratio(F.col("o"), F.col("e"), log)
     filled = F.coalesce(change, F.min(change).over(Window.partitionBy("l")))
-    return rows.select(F.col("g").alias("group"), F.col("l").alias("label"), F.col("o").alias("observed"), F.col("e").alias("expected"), filled.alias("enrichment"), *([F.col("p").alias("pvalue")] if pvalues else []))
+    out = rows.select(F.col("g").alias("group"), F.col("l").alias("label"), F.col("o").alias("observed"), F.col("e").alias("expected"), filled.alias("enrichment"), *([F.col("p").alias("pvalue")] if pvalues else []))
+    return with_params(out, group_key=group_key, label_key=label_key, pvalues=pvalues, n_perms=n_perms if pvalues else None, seed=seed if pvalues else None, log=log)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichespark.functions.aggregates import log_ratio
-from nichespark.functions.checks import need
+from nichespark.functions.checks import need, with_params
 from nichespark.operators.deal import deal, dealt_sums
 from nichespark.operators.prune import with_labels
 from nichespark.runtime import settle
@@ -92,7 +92,8 @@ def nhood_enrichment(
     (unlabelled targets included) unless symmetric. expected: share of target among all cells, or
     with symmetric n_s * n_t * mean degree / N (half on the diagonal); with pvalues the mean over
     permutations. enrichment: the difference, or log2 of the ratio (-Infinity at 0). With
-    only_inter, links inside a cluster go first, and the diagonal is null but for its p-value.
+    only_inter, links inside a cluster go first, and the diagonal is null but for its p-value. The
+    parameters are kept with the column enrichment (see params_of).
     """
     need(cells, "cell_id", cluster_key)
     need(edges, "src", "dst", "weight")
@@ -115,14 +116,8 @@ def nhood_enrichment(
         value = log_ratio(F.col("raw"), F.col("pe"), True) if log_fold_change else F.col("raw") - F.col("pe")
         rows = rows.join(mean, ["s", "t"]).withColumns({"expected": F.when(keep, F.col("pe")), "enrichment": F.when(keep, value)})
         extra = ["pvalue"]
-    return rows.select(F.col("s").alias("source"), F.col("t").alias("target"), "observed", "expected", "enrichment", *extra)
-
-
-def params(**given) -> dict[str, str | None]:
-    """The parameters of a run as a map of strings; n_perms only counts with pvalues."""
-    if not given.get("pvalues"):
-        given["n_perms"] = None
-    return {k: None if v is None else str(v) for k, v in given.items()}
+    out = rows.select(F.col("s").alias("source"), F.col("t").alias("target"), "observed", "expected", "enrichment", *extra)
+    return with_params(out, cluster_key=cluster_key, log_fold_change=log_fold_change, only_inter=only_inter, symmetric=symmetric, pvalues=pvalues, n_perms=n_perms if pvalues else None, seed=seed if pvalues else None)
 
 
 def _difference(rows: DataFrame, pairs: list[tuple[str, str]], by: str, value: str, more: list[str]) -> DataFrame:
@@ -196,4 +191,5 @@ def diff_nhood_enrichment(
         perms = one.join(two, k).select("condition1", "condition2", "s", "t", (F.col("v1") - F.col("v2")).alias("po"))
         out = _pvalues(out, perms, ["condition1", "condition2"], n_perms)
         extra = ["pvalue"]
-    return out.select("condition1", "condition2", F.col("s").alias("source"), F.col("t").alias("target"), F.col("raw").alias("enrichment"), *extra)
+    out = out.select("condition1", "condition2", F.col("s").alias("source"), F.col("t").alias("target"), F.col("raw").alias("enrichment"), *extra)
+    return with_params(out, cluster_key=cluster_key, condition_key=condition_key, condition_groups=groups, library_key=library_key if pvalues else None, log_fold_change=log_fold_change, only_inter=only_inter, symmetric=symmetric, pvalues=pvalues, n_perms=n_perms if pvalues else None, seed=seed if pvalues else None)

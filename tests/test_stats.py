@@ -53,6 +53,17 @@ def test_group_permutations_agree(tissue):
     assert b["pvalue"].between(0, 1).all()
 
 
+def test_parameters_stay_with_the_result(tissue, spark, tmp_path):
+    from nichespark.functions.checks import params_of
+
+    c, e = tissue
+    out = gr.nhood_enrichment(c, e, "cluster", pvalues=True, n_perms=5, seed=2)
+    out.write.parquet(f"file://{tmp_path}/kept")
+    for df in (out, spark.read.parquet(f"file://{tmp_path}/kept")):
+        assert params_of(df) == {"cluster_key": "cluster", "log_fold_change": False, "only_inter": True, "symmetric": False, "pvalues": True, "n_perms": 5, "seed": 2}
+    assert "n_perms" not in params_of(gr.nhood_enrichment(c, e, "cluster")) and params_of(gr.enrichment(c, "cluster", "condition"))["label_key"] == "condition"
+
+
 def test_dealing_keeps_every_label_as_often_as_it_is(tissue):
     from nichespark.operators.deal import deal
 
