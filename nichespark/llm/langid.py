@@ -88,7 +88,7 @@ def pack(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarra
         at, tries = cursor, 0
         while taken[at] or any(taken[at + k - low] for k in rest):
             at = taken.find(b"\0", at + 1)
-            if (tries := tries + 1) == 200:  # the beginning is full: go on further behind
+            if (tries := tries + 1) == 12:  # the beginning is full: go on further behind; single steps fill the gaps
                 cursor = at
             if at + width >= len(taken):
                 taken.extend(bytes(len(taken)))
