@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,8 +41,10 @@ PAD = struct.pack("<II", SKIP_PAD, 1) + b"\n"
 ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("docs", "<u4"), ("check", "<u4")])
 #: A frame ends with the document that brings it to so many ids, a file after so many frames.
 FRAME_IDS, FRAMES = 1 << 16, 255
-#: Chunks and pieces that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Pieces and chunks that a worker remembers before it starts afresh, some 40 bytes each.
+REMEMBERED = 1_500_000
+#: Texts that are encoded at once, and their characters.
+TEXTS, TEXT_CHARS = 4096, 6 << 20
 #: The tokenizer's way of splitting. Texts of these characters lower-case and compose alike
 #: everywhere, and PIECES cuts them in the same way.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -52,9 +55,10 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xdf-\\xf6\\xf8-\\xff]+|[0-9]|
 class Encoder:
     """Ids of whole texts by the tokenizers library; parts already seen are looked up.
 
-    Texts are cut into chunks at spaces and line ends, which the tokenizer's pattern never joins to what
-    stands beside them. A new chunk of plain characters is cut into the pieces that the pattern makes, as
-    these are fewer; new pieces, and new chunks of other texts, go to the library. Memory for what was seen is bounded.
+    Texts are cut into chunks at white space, which the tokenizer's pattern never joins to what
+    stands beside it. Each distinct chunk of a batch is looked up once; a new chunk of plain characters is cut into
+    the pieces that the pattern makes, as these are fewer; new pieces, and new chunks of other texts, go to
+    the library. Memory for what was seen is bounded.
     """
 
     def __init__(self, data: bytes):
@@ -70,7 +74,8 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added, self.marks = re.compile("|".join(map(re.escape, added)) or "(?!)"), {x[:1] for x in added}
         self.code = "H" if self.size <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
+        self.kind = pa.large_list(pa.uint16() if self.code == "H" else pa.uint32())
+        self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], self.kind)
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for i in range(0, len(parts), 4096) for e in self.tokenizer.encode_batch_fast(parts[i : i + 4096], add_special_tokens=False)]
@@ -80,22 +85,51 @@ class Encoder:
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as machine integers of two or four bytes (see code)."""
-        if len(self.known) >= REMEMBERED:
-            self.known = {}
-        known, parts, plain, other = self.known, [], set(), set()
-        for t in texts:
-            if self.shortcut and PLAIN.fullmatch(t) and not (any(m in t for m in self.marks) and self.added.search(t)):
-                parts.append(t.lower().split())
-                plain.update(parts[-1])
-            else:
-                parts.append(t.replace("\n", " ").split(" "))
-                other.update(parts[-1])
-        cut = {c: PIECES.findall(c) for c in plain.difference(known)}
-        fresh = list(other.union(*cut.values()).difference(known))
-        known.update(zip(fresh, self._library(fresh), strict=True))
-        for c, pieces in cut.items():
-            known[c] = b"".join(map(known.__getitem__, pieces))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        out: list[bytes] = [b""] * len(texts)
+        plain, other = [], []
+        for i, t in enumerate(texts):
+            usual = self.shortcut and PLAIN.fullmatch(t) and not (any(m in t for m in self.marks) and self.added.search(t))
+            (plain if usual else other).append(i)
+        # characters that lower-case or split in other ways than the plain ones never meet them in a text
+        for places, cut in ((plain, True), (other, False)):
+            if not places:
+                continue
+            own = pa.array([texts[i].lower() if cut else texts[i].replace("\n", " ") for i in places], pa.large_string())
+            words = pc.ascii_split_whitespace(own) if cut else pc.split_pattern(own, " ")
+            coded = words.flatten().dictionary_encode()
+            ids = self._chunks(coded.dictionary, cut).take(coded.indices)
+            # chunks of a text, then ids of a text
+            at = ids.offsets.to_numpy()[words.offsets.to_numpy() - words.offsets[0].as_py()]
+            flat = ids.values.to_numpy()
+            for i, a, b in zip(places, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                out[i] = flat[a:b].tobytes()
+        return out
+
+    def _lists(self, raw: list[bytes]) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64) // array(self.code).itemsize])
+        return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), self.code)))
+
+    def _chunks(self, chunks: pa.Array, plain: bool) -> pa.Array:
+        """The ids of distinct chunks: of new ones by their pieces, which are remembered like chunks."""
+        if len(self.keys) >= REMEMBERED:
+            self.keys, self.ids = self.keys[:0], self.ids[:0]
+        at = pc.index_in(chunks, value_set=self.keys)
+        if at.null_count:
+            new = chunks.filter(at.is_null()).to_pylist()
+            cut = [PIECES.findall(c) for c in new] if plain else [[c] for c in new]
+            parts = list(set().union(*cut))
+            known = pc.index_in(pa.array(parts, pa.large_string()), value_set=self.keys)
+            fresh = [p for p, k in zip(parts, known.is_null().to_pylist(), strict=True) if k]
+            have = self.ids.take(known.drop_null())
+            flat, ends = have.flatten().to_numpy(), np.cumsum(have.value_lengths().to_numpy()).tolist()
+            pieces = dict(zip(fresh, self._library(fresh), strict=True))
+            pieces.update(zip((p for p in parts if p not in pieces), (flat[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)), strict=True))
+            # a chunk that has nothing to cut is a piece
+            joined = {c: b"".join(map(pieces.__getitem__, p)) for c, p in zip(new, cut, strict=True) if p != [c]}
+            self.keys = pa.concat_arrays([self.keys, pa.array([*fresh, *joined], pa.large_string())])
+            self.ids = pa.concat_arrays([self.ids, self._lists([*(pieces[p] for p in fresh), *joined.values()])])
+            at = pc.index_in(chunks, value_set=self.keys)
+        return self.ids.take(at)
 
 
 @contextmanager
@@ -115,6 +149,16 @@ def _encoder(data: bytes) -> Encoder:
     return Encoder(data)
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch whose second column are texts, in parts of TEXTS rows and TEXT_CHARS bytes, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, min(at + TEXTS, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_CHARS, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class FileWriter:
     """Packs documents into frames, and makes the end of the file."""
 
@@ -217,8 +261,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         emit = lambda parts: pa.RecordBatch.from_arrays([pa.array([(p + PAD)[:-1] for p in parts], pa.binary())], names=["value"])
         with no_cycles():
             for whole in batches:
-                for i in range(0, whole.num_rows, 512):
-                    b = whole.slice(i, 512)
+                for b in blocks(whole):
                     for d, ids in zip(b.column(0).to_pylist(), encoder.raw(b.column(1).to_pylist()), strict=True):
                         if frame := writer.add(d, ids + end):
                             yield emit([frame])
