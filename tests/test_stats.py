@@ -179,15 +179,23 @@ def test_mixture(spark, tmp_path):
     assert tl.ClusterAutoK.load(spark, f"file://{tmp_path}/a").best_k == 2
 
 
-def test_mixture_by_spark_equals_local(spark, monkeypatch):
-    from nichespark.operators import gmm
-
+def test_mixture_is_the_same_however_rows_are_dealt(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(0, 0.4, (120, 3)), rng.normal(3, 0.4, (90, 3))])
     c = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>")
-    here = tl.GaussianMixture(2).fit(c)
-    monkeypatch.setattr(gmm, "LOCAL_NUMBERS", 0)
-    there = tl.GaussianMixture(2).fit(c)
-    assert here.num_iter_ == there.num_iter_
+    start = {"init_means": [[0.0] * 3, [3.0] * 3]}
+    here, there = tl.GaussianMixture(2, **start).fit(c.coalesce(1)), tl.GaussianMixture(2, batch_size=7, **start).fit(c.repartition(5))
+    assert here.num_iter_ == there.num_iter_ and here.converged_
     np.testing.assert_allclose(here.model_.means, there.model_.means)
     np.testing.assert_allclose(here.model_.covariances, there.model_.covariances, atol=1e-9)
+    one = tl.GaussianMixture(2, trainer_params={"max_epochs": 1}, **start).fit(c)
+    assert one.num_iter_ == 1 and not one.converged_
+
+
+def test_mixture_of_few_distinct_rows_has_a_start(spark, monkeypatch):
+    from nichespark.operators import gmm
+
+    monkeypatch.setattr(gmm, "INIT_ROWS", 50)
+    rows = spark.range(3000).selectExpr("array(cast(id % 2 as double) * 4 + id % 3 * 1e-3, 1.0 + id % 5 * 1e-3) features")
+    found = tl.GaussianMixture(2, random_state=3).fit(rows)
+    np.testing.assert_allclose(sorted(found.model_.means[:, 0]), [0.001, 4.001], atol=0.01)
