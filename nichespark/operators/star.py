@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from nichespark.runtime import LEAST, join_counted, settle
 
 
+def _settle(df: DataFrame, n_rows: int) -> DataFrame:
+    """Settled in partitions of half a million rows or so: a round has few tasks where it has few pairs."""
+    return settle(df.coalesce(max(8, n_rows // 500_000)))
+
+
 def _known(least: DataFrame, n_pairs: int) -> DataFrame:
     """The minima, settled where their hubs are to be looked up."""
-    return settle(least) if n_pairs > LEAST else least
+    return _settle(least, n_pairs) if n_pairs > LEAST else least
 
 
 def _with_least(pairs: DataFrame, least: DataFrame, n_pairs: int) -> DataFrame:
@@ -51,7 +56,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     for _ in range(max_rounds):
         # each row of the one star is a row of the pairs, so their number bounds both
         large = _large_star(pairs, before[0])
-        pairs = settle(_small_star(settle(large) if before[0] > LEAST else large, before[0]))
+        pairs = _settle(_small_star(_settle(large, before[0]) if before[0] > LEAST else large, before[0]), before[0])
         now = sign(pairs)
         if now == before:
             break
