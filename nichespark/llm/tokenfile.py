@@ -42,7 +42,7 @@ ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("docs", "<u4"), ("check",
 #: A frame ends with the document that brings it to so many ids, a file after so many frames.
 FRAME_IDS, FRAMES = 1 << 16, 255
 #: Pieces and chunks that a worker remembers before it starts afresh, some 40 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Texts that are encoded at once, and their characters.
 TEXTS, TEXT_CHARS = 4096, 6 << 20
 #: The tokenizer's way of splitting. Texts of these characters lower-case and compose alike
@@ -52,6 +52,14 @@ PLAIN = re.compile("[ \\t\\n\\r\\x21-\\x7e\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]*")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xdf-\\xf6\\xf8-\\xff]+|[0-9]|[^ \\t\\n\\ra-z0-9\\xdf-\\xf6\\xf8-\\xff]+")
 
 
+def cuts_by_pieces(data: bytes) -> bool:
+    """Whether PIECES cuts as a tokenizer file says; asked once, on the driver, as it takes much memory."""
+    made = json.loads(data)
+    steps = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
+    split = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [SPLIT]
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library; parts already seen are looked up.
 
@@ -61,16 +69,11 @@ class Encoder:
     the library. Memory for what was seen is bounded.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, shortcut: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(data.decode("utf-8"))
+        self.tokenizer, self.shortcut = Tokenizer.from_str(data.decode("utf-8")), shortcut
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # the shortcut by PIECES holds for this way of splitting only
-        made = json.loads(data)
-        steps = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
-        split = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.shortcut = steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [SPLIT]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added, self.marks = re.compile("|".join(map(re.escape, added)) or "(?!)"), {x[:1] for x in added}
         self.code = "H" if self.size <= 1 << 16 else "I"
@@ -145,8 +148,8 @@ def no_cycles() -> Iterator[None]:
 
 
 @lru_cache(maxsize=1)
-def _encoder(data: bytes) -> Encoder:
-    return Encoder(data)
+def _encoder(data: bytes, shortcut: bool) -> Encoder:
+    return Encoder(data, shortcut)
 
 
 def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -248,14 +251,16 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     spark = docs.sparkSession
     with open(path or public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    shared, shortcut = spark.sparkContext.broadcast(data), cuts_by_pieces(data)
+    del data
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoder(shared.value)
+        encoder = _encoder(shared.value, shortcut)
         width = array(encoder.code).itemsize
         writer, end = FileWriter(width, frame_ids), end_id.to_bytes(width, "little")
         emit = lambda parts: pa.RecordBatch.from_arrays([pa.array([(p + PAD)[:-1] for p in parts], pa.binary())], names=["value"])
@@ -268,6 +273,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         if len(writer.table) == frames:
                             yield emit(writer.end())
                             writer = FileWriter(width, frame_ids)
+                    pa.default_memory_pool().release_unused()
             if writer.ids:
                 yield emit(writer.end())
 
