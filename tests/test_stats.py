@@ -5,7 +5,7 @@ import pytest
 
 from nichespark import gr, pl, tl
 from nichespark.operators import stability as st
-from nichespark.operators.geometry import curl, elongation, from_wkb, linearity, to_wkb
+from nichespark.operators.geometry import component_rings, convex_hull, curl, delaunay, elongation, from_wkb, linearity, ring_area, to_wkb
 from nichespark.operators.shape import area_perimeter, ring_table
 
 
@@ -136,6 +136,41 @@ def test_boundaries_purity(spark):
         assert tl.elongation(polygons).count() == 2
 
 
+CLOSE = np.random.default_rng(0).random((120, 2)) * np.repeat([1, 1e-4], 60)[:, None] + np.repeat([0, 0.5], 60)[:, None]
+CIRCLE = np.column_stack([np.cos(np.arange(40) * np.pi / 20), np.sin(np.arange(40) * np.pi / 20)])
+
+
+@pytest.mark.parametrize("points", [CLOSE, CIRCLE, np.argwhere(np.ones((12, 12))) * 0.1 + np.random.default_rng(1).normal(0, 1e-9, (144, 2)), np.vstack([CLOSE, CLOSE[::-1], [[np.nan, 0], [0, np.inf]]])])
+def test_triangles_cover_the_hull_once(points):
+    t = delaunay(points)
+    whole = ring_area([tuple(p) for p in convex_hull(points[np.isfinite(points).all(axis=1)])])
+    each = [ring_area([tuple(points[i]) for i in x]) for x in t]
+    assert sum(each) == pytest.approx(whole, rel=1e-12) and min(each) > 0
+    sides = np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]])
+    assert len(np.unique(sides, axis=0)) == len(sides)
+    assert len(delaunay(np.column_stack([np.arange(9.0)] * 2))) == 0 == len(delaunay(np.zeros((0, 2))))
+
+
+def test_boundaries_of_close_cells(spark):
+    rows = [(i, "0", float(x), float(y)) for i, (x, y) in enumerate(CLOSE)]
+    found = tl.boundaries(spark.createDataFrame(rows, "cell_id long, component string, x double, y double"), alpha_start=0.05).collect()
+    shell = found[0]["rings"][0]
+    assert len(found) == 1 and len({(p["x"], p["y"]) for p in shell}) == len(shell) > 5
+
+
+def test_rings_that_touch():
+    square = np.argwhere(np.ones((4, 4))).astype(float)
+    rings = component_rings(np.vstack([square, square + 3]), alpha_start=1)
+    assert len(rings) == 1 and len(set(rings[0])) == len(rings[0]) and ring_area(rings[0]) > 18  # two squares share one point: not one polygon yet
+    x, y = (grid := np.argwhere(np.ones((13, 13))).astype(float)).T
+    away = np.maximum(abs(x - 6), abs(y - 6))
+    areas = lambda keep: [ring_area(r) for r in component_rings(grid[keep], alpha_start=1)]
+    band = away > 4
+    assert areas(band | (away < 2)) == [144, -98]  # what lies in a hole is no polygon of its own
+    assert areas(band & ((x != 1) | (y != 6))) == [144, -99]  # the hole touches the outline
+    assert areas(band & (((x != 1) & (x != 11)) | (y != 6))) == [144]  # twice, and would cut the polygon
+
+
 def test_relative_component_size(spark):
     shares = [("0", "c0", 40), ("1", "c1", 21), ("1", "c2", 14)]
     rows = [(d, k) for d, k, n in shares for _ in range(n)]
